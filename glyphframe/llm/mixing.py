@@ -3,7 +3,8 @@
 Each source gets a target of words.  Whole epochs of the source come first; the rest of the
 target is filled by weighted sampling without replacement: every record draws an
 exponential key scaled by its quality weight, records are sorted by key within the source,
-and sizes are prefix-summed up to the budget.
+and sizes are prefix-summed up to the budget.  The record on the budget's end gives way to
+the one, among those left, whose size is nearest to what is missing.
 
 The prefix sums are distributed: keys fall into ordered bins (equal steps of the key's
 logarithm, so the weights' scale does not matter), bins are summed before they are shuffled,
@@ -139,14 +140,21 @@ def plan(
     keys = last.groupBy("__source", "__key", "__rest", "__part_before").agg(F.sum("__size").alias("__mass"))
     order = W.partitionBy("__source").orderBy("__key").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("__part_before") + F.coalesce(F.sum("__mass").over(order), F.lit(0))
-    # what lies on the edge is taken if the selection then ends nearer to the target
-    near = keys.withColumn("__take", 2 * (F.col("__rest") - before) >= F.col("__mass"))
-    cuts = near.where("__take").groupBy("__source").agg(F.max("__key").alias("__edge_key"))
-    edges = second.join(cuts.withColumnRenamed("__source", "__c"), F.col("__source").eqNullSafe(F.col("__c")), "left")
-    edges = edges.select(F.col("__source").alias("__e"), "__edge_bin", "__edge_part", "__edge_key")
+    # the first key with which the budget would be reached; all before it are taken
+    reached = keys.withColumn("__sum", before).where((F.col("__sum") < F.col("__rest")) & (F.col("__sum") + F.col("__mass") >= F.col("__rest")))
+    edges = cut(
+        reached.select(
+            "__source", F.col("__key").alias("__edge_key"), (F.col("__rest") - F.col("__sum")).alias("__gap")
+        )
+    )
+    # of the records not taken so far, the one whose size is nearest to what is missing closes the selection
+    left = with_plan(rows, edges).where((F.col("__size") > 0) & (F.col("__key") >= F.col("__edge_key")))
+    left = left.withColumn("__off", F.abs(F.col("__size") - F.col("__gap"))).where(F.col("__off") < F.col("__gap"))
+    closing = left.groupBy(F.col("__source").alias("__c")).agg(F.min(F.struct("__off", "__key")).getField("__key").alias("__close_key"))
+    edges = edges.join(closing, F.col("__source").eqNullSafe(F.col("__c")), "left").select(F.col("__source").alias("__e"), "__edge_key", "__close_key")
     return cut(
         goals.join(edges, F.col("__source").eqNullSafe(F.col("__e")), "left").select(
-            "__source", "source_size", "target", "__epochs", "__edge_bin", "__edge_part", "__edge_key"
+            "__source", "source_size", "target", "__epochs", "__edge_key", "__close_key"
         )
     )
 
@@ -168,10 +176,8 @@ def with_plan(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 def times() -> Column:
     """How often the mix takes a row that has its source's plan."""
-    here = F.struct("__bin", "__part")
-    edge = F.struct("__edge_bin", "__edge_part")
-    chosen = F.when(here == edge, F.coalesce(F.col("__key") <= F.col("__edge_key"), F.lit(False))).otherwise(here < edge)
-    chosen = F.col("__edge_bin").isNotNull() & chosen & (F.col("__size") > 0)
+    chosen = (F.col("__key") < F.col("__edge_key")) | F.coalesce(F.col("__key") == F.col("__close_key"), F.lit(False))
+    chosen = chosen & (F.col("__size") > 0)
     return F.col("__epochs") + F.coalesce(chosen, F.lit(False)).cast("long")
 
 
