@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,15 @@ def lower_ascii(text: Column) -> Column:
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` evaluated once.
+
+    The optimizer may put a column's expression where the column is used, and inside a lambda
+    it would then be evaluated for every element; a bound variable stays a variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphframe.llm.common import cut, lower_ascii
+from glyphframe.llm.common import cut, let, lower_ascii
 
 K = 5
 WINDOW = 13
@@ -43,42 +43,28 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _hashed(rows: DataFrame, lengths: list[int], window: int, k: int) -> DataFrame:
-    """``rows`` (with __words and __n) and their __probes: (len, pos, h)."""
-    none = F.array().cast("array<bigint>")
-    grams = F.when(
-        F.col("__n") >= window,
-        F.transform(F.sequence(F.lit(0), F.col("__n") - k), lambda i: F.xxhash64(*[F.get("__words", i + j) for j in range(k)])),
-    ).otherwise(none)
-    rows = rows.withColumn("__grams", grams)
-    # the upper half of a hash beside its place: the least of these is the least hash, leftmost first
-    ranked = F.transform("__grams", lambda h, i: h.bitwiseAND(F.lit(-1 << 32)).bitwiseOR(i.cast("long")))
-    rows = rows.withColumn("__ranked", ranked)
-    least = F.when(
-        F.col("__n") >= window,
-        F.transform(F.sequence(F.lit(1), F.col("__n") - window + 1), lambda i: F.array_min(F.slice("__ranked", i, window - k + 1))),
-    ).otherwise(none)
-    rows = rows.withColumn("__least", F.array_distinct(least))
+def _probes(w: Column, n: Column, lengths: list[int], window: int, k: int) -> Column:
+    """Probes (len, pos, h) of words ``w``, ``n`` of them."""
+    gram = lambda i, size: F.xxhash64(*[F.get(w, i + j) for j in range(size)])
     place = lambda v: v.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    probes = F.transform("__least", lambda v: F.struct(F.lit(window).alias("len"), place(v).alias("pos"), F.get("__grams", place(v)).alias("h")))
-    for length in lengths:
-        short = F.when(
-            F.col("__n") >= length,
-            F.transform(
-                F.sequence(F.lit(0), F.col("__n") - length),
-                lambda i, n=length: F.struct(F.lit(n).alias("len"), i.cast("int").alias("pos"), F.xxhash64(*[F.get("__words", i + j) for j in range(n)]).alias("h")),
-            ),
-        ).otherwise(F.array().cast(PROBES))
-        probes = F.concat(probes, short)
-    return rows.withColumn("__probes", probes).drop("__grams", "__ranked", "__least")
 
+    def winnowed(grams: Column) -> Column:
+        # the upper half of a hash beside its place: the least of these is the least hash, leftmost first
+        ranked = F.transform(grams, lambda h, i: h.bitwiseAND(F.lit(-1 << 32)).bitwiseOR(i.cast("long")))
+        starts = F.sequence(F.lit(1), n - window + 1)
+        least = let(ranked, lambda r: F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(r, i, window - k + 1)))))
+        return F.transform(least, lambda v: F.struct(F.lit(window).alias("len"), place(v).alias("pos"), F.get(grams, place(v)).alias("h")))
 
-def _text(at: Column, length: Column) -> Column:
-    return F.array_join(F.slice("__words", at + 1, length), " ")
+    none = F.array().cast(PROBES)
+    out = F.when(n >= window, let(F.transform(F.sequence(F.lit(0), n - k), lambda i: gram(i, k)), winnowed)).otherwise(none)
+    for length in lengths:
+        every = F.transform(F.sequence(F.lit(0), n - length), lambda i, m=length: F.struct(F.lit(m).alias("len"), i.cast("int").alias("pos"), gram(i, m).alias("h")))
+        out = F.concat(out, F.when(n >= length, every).otherwise(none))
+    return out
 
 
-def _tokens(rows: DataFrame, text_col: str) -> DataFrame:
-    return rows.withColumn("__words", words(F.col(text_col))).withColumn("__n", F.size("__words"))
+def _text(w: Column, at: Column, length: Column) -> Column:
+    return F.array_join(F.slice(w, at + 1, length), " ")
 
 
 class Benchmark:
@@ -86,18 +72,20 @@ class Benchmark:
 
     def __init__(self, items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, k: int = K):
         self.window, self.k = window, k
-        rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__item"), F.col(text_col).alias("__text"))
-        rows = _tokens(rows, "__text").where("__n > 0").drop("__text")
-        self.lengths = sorted(r["__n"] for r in rows.where(F.col("__n") < window).select("__n").distinct().collect())
-        # whole short items are their own probe
-        probes = _hashed(rows, [], window, k).select(F.explode("__probes").alias("p")).select("p.len", "p.h")
-        for n in self.lengths:
-            whole = rows.where(F.col("__n") == n).select(F.lit(n).alias("len"), F.xxhash64(*[F.get("__words", F.lit(j)) for j in range(n)]).alias("h"))
-            probes = probes.unionByName(whole)
+        rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__item"), words(F.col(text_col)).alias("__words"))
+        rows = cut(rows.where(F.size("__words") > 0))
+        n = F.size("__words")
+        self.lengths = sorted(r["n"] for r in rows.where(n < window).select(n.alias("n")).distinct().collect())
+        # a short item is its own probe
+        found = rows.select(let(F.col("__words"), lambda w: _probes(w, F.size(w), [], window, k)).alias("p"))
+        probes = found.select(F.explode("p").alias("p")).select("p.len", "p.h")
+        for m in self.lengths:
+            whole = F.xxhash64(*[F.get("__words", F.lit(j)) for j in range(m)])
+            probes = probes.unionByName(rows.where(n == m).select(F.lit(m).alias("len"), whole.alias("h")))
         self.probes = cut(probes.distinct())
         self.n_probes = self.probes.count()
-        length = F.least(F.col("__n"), F.lit(window))
-        windows = F.transform(F.sequence(F.lit(0), F.col("__n") - length), lambda i: _text(i, length))
+        length = F.least(n, F.lit(window))
+        windows = let(F.col("__words"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - length), lambda i: _text(w, i, length)))
         per_item = cut(rows.select("__item", length.alias("len"), F.explode(F.array_distinct(windows)).alias("window")).distinct())
         classes = per_item.groupBy("len", "window").agg(
             F.concat_ws(":", F.count("*"), F.bit_xor(F.xxhash64("__item")), F.bit_xor(F.xxhash64(F.lit("class"), "__item"))).alias("class")
@@ -118,8 +106,9 @@ def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     key = row_key(F.col("__id"), F.col("__text"))
     own = own.select("__id", *key, "__text")
-    probed = _hashed(_tokens(own, "__text").drop("__text"), bench.lengths, window, k)
-    probed = probed.select("__id", "__h1", "__h2", "__n", F.posexplode_outer("__probes").alias("__i", "__p"))
+    scan = let(words(F.col("__text")), lambda w: F.struct(F.size(w).alias("n"), _probes(w, F.size(w), bench.lengths, window, k).alias("probes")))
+    probed = own.select("__id", "__h1", "__h2", scan.alias("__s"))
+    probed = probed.select("__id", "__h1", "__h2", F.col("__s.n").alias("__n"), F.posexplode_outer("__s.probes").alias("__i", "__p"))
     known = bench.probes.select(F.col("len").alias("__klen"), F.col("h").alias("__kh"))
     joined = probed.select("__id", "__h1", "__h2", "__n", "__i", F.col("__p.len").alias("__len"), F.col("__p.pos").alias("__pos"), F.col("__p.h").alias("__h")).join(
         _small(known, bench.n_probes), (F.col("__h") == F.col("__kh")) & (F.col("__len") == F.col("__klen")), "left"
@@ -135,21 +124,24 @@ def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     hit = per_doc.where(F.size("__cand") > 0).select(F.col("__h1").alias("__c1"), F.col("__h2").alias("__c2"), "__cand")
     n_cand = hit.agg(F.coalesce(F.sum(F.size("__cand") + 4), F.lit(0))).first()[0]
     texts = own.join(_small(hit, n_cand), (F.col("__h1") == F.col("__c1")) & (F.col("__h2") == F.col("__c2")))
-    texts = _tokens(texts, "__text").select("__h1", "__h2", "__n", "__words", "__cand")
-    around = F.transform(
-        "__cand",
-        lambda c: F.when(
-            c["len"] == window,
-            F.transform(
-                F.sequence(F.greatest(F.lit(0), c["pos"] - (window - k)), F.least(c["pos"], F.col("__n") - window)),
-                lambda s: F.struct(s.alias("start"), F.lit(window).alias("len")),
-            ),
-        ).otherwise(F.array(F.struct(c["pos"].alias("start"), c["len"].alias("len")))),
-    )
-    texts = texts.withColumn("__at", F.array_distinct(F.flatten(around)))
-    tried = texts.select(
-        "__h1", "__h2", F.explode(F.transform("__at", lambda a: F.struct(a["start"].alias("start"), a["len"].alias("len"), _text(a["start"], a["len"]).alias("window")))).alias("w")
-    ).select("__h1", "__h2", F.col("w.start").alias("start"), F.col("w.len").alias("len"), F.col("w.window").alias("window"))
+
+
+    def tries(w: Column) -> Column:
+        """(start, len, window) of all windows that contain a candidate."""
+        around = F.transform(
+            "__cand",
+            lambda c: F.when(
+                c["len"] == window,
+                F.transform(
+                    F.sequence(F.greatest(F.lit(0), c["pos"] - (window - k)), F.least(c["pos"], F.size(w) - window)),
+                    lambda s: F.struct(s.alias("start"), F.lit(window).alias("len")),
+                ),
+            ).otherwise(F.array(F.struct(c["pos"].alias("start"), c["len"].alias("len")))),
+        )
+        return F.transform(F.array_distinct(F.flatten(around)), lambda a: F.struct(a["start"].alias("start"), a["len"].alias("len"), _text(w, a["start"], a["len"]).alias("window")))
+
+    tried = texts.select("__h1", "__h2", F.explode(let(words(F.col("__text")), tries)).alias("w"))
+    tried = tried.select("__h1", "__h2", F.col("w.start").alias("start"), F.col("w.len").alias("len"), F.col("w.window").alias("window"))
     found = (
         tried.join(_small(bench.windows, bench.n_windows), ["len", "window"])
         .groupBy("__h1", "__h2")

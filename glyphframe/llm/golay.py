@@ -13,7 +13,6 @@ All tables follow from the generator polynomial.
 
 from __future__ import annotations
 
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -33,9 +32,13 @@ def remainder(word: int) -> int:
     return word
 
 
-@cache
+_known: list = []
+
+
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Remainders of the upper 12 bits; by syndrome the nearest error, and the errors of 4 bits after one of 3 (else 0)."""
+    if _known:
+        return _known[0]
     high = np.array([remainder(x << CHECK) for x in range(1 << (LENGTH - CHECK))], dtype=np.int64)
     unit = [remainder(1 << i) for i in range(LENGTH)]
     nearest = np.zeros(1 << CHECK, dtype=np.int64)
@@ -54,6 +57,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     further = np.zeros((1 << CHECK, MOST - 1), dtype=np.int64)
     for s, errors in fours.items():
         further[s, : len(errors)] = errors
+    _known.append((high, nearest, further))
     return high, nearest, further
 
 

@@ -8,10 +8,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphframe.llm import decontaminate, mixing, sharding, simhash
+from glyphframe.llm import decontaminate, language, licence, lines, mixing, quality, rules, sharding, simhash
 from glyphframe.llm.common import checkpoint_dir, table
 
 
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a quality label that may train: (doc_id, text, quality)."""
+    docs = table(spark, sf_dir, "documents").where(~quality.held_out(F.col("doc_id"))).select("doc_id", "text")
+    marks = table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", "quality")
+    return docs.join(marks, "doc_id")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    model = quality.train(quality_labels(spark, sf_dir))
+    scored = quality.score(table(spark, sf_dir, "documents"), model)
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        quality.held_out(F.col("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 of all documents, sizes near equal."""
     path = f"{checkpoint_dir(spark)}/slot-maps/{uuid.uuid4().hex}"
@@ -39,17 +58,65 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that stand in ten sources or more."""
+    left = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates of all documents, by SimHash of 3-word shingles."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of all documents, and whether the rules keep them."""
+    model = rules.train(quality_labels(spark, sf_dir))
+    return rules.evaluate(table(spark, sf_dir, "documents"), model).withColumnRenamed("id", "doc_id")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    apart = quality.held_out(F.col("doc_id"), folds=4, fold=2)
+    model = language.train(docs.where(~apart).select("doc_id", "text", "lang"))
+    found = language.identify(docs, model)
+    return found.select(F.col("id").alias("doc_id"), quality.held_out(F.col("id"), folds=4, fold=2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return licence.scan(docs, licence.train(docs)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_lines": op5_lines,
     "op6_simhash": op6_simhash,
+    "op8_rules": op8_rules,
+    "op9_language": op9_language,
+    "op10_licences": op10_licences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Of the operators that SQL can express on whole tables in reasonable time.
+ORACLE_SQL: dict[str, str] = {
+    "op5_lines": r"""
+        WITH lines AS (
+            SELECT doc_id, source, i, string_split(text, chr(10))[i] AS raw,
+                   regexp_replace(string_split(text, chr(10))[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
+            FROM documents, LATERAL (SELECT unnest(generate_series(1, len(string_split(text, chr(10))))) AS i)
+        ), common AS (
+            SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, chr(0) || 'null')) >= 10
+        ), marked AS (
+            SELECT l.*, c.line IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.line = c.line
+        )
+        SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_removed,
+               sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+}
