@@ -72,3 +72,15 @@ def sample_ids(rows: DataFrame, key: str, stratum: str, per_stratum: int, seed:
         .where(unit * F.col("__n") < F.lit(float(per_stratum)))
         .select(rows["*"])
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, seed: str) -> list:
+    """About ``per_label`` rows (id, text, label) of labels 0 and 1 each, in a fixed order.
+
+    Ids are drawn from the labels alone; they are few, and meet the texts where these are.
+    """
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null")
+    drawn = sample_ids(marks, "id", "label", per_label, seed)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = own.join(F.broadcast(drawn), "id").select("id", "text", "label").collect()
+    return sorted(rows, key=lambda r: (r["id"], r["text"] or "", r["label"]))

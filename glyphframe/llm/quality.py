@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphframe.llm.common import sample_ids
+from glyphframe.llm.common import labelled_sample
 
 CHUNK, STEP, WIDTH = 256, 128, 6
 EMBED, FILTERS, HIDDEN = 8, 24, 16
@@ -157,13 +157,12 @@ def held_out(id_col: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Network | float:
-    """A network from rows (id, text, label); the share of label 1 if there is nothing to tell apart."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Network | float:
+    """A network from texts and labels (0 or 1) of ids; the share of label 1 if there is nothing to tell apart."""
+    counts = {r[0]: r["n"] for r in labels.groupBy(F.col(label_col).cast("int")).agg(F.count("*").alias("n")).collect() if r[0] in (0, 1)}
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
-    sample = sorted(sample_ids(rows, "id", "label", per_class, "quality").collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["text"] or ""))
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, per_class, "quality")
     if len({r["label"] for r in sample}) < 2:
         return counts[1] / sum(counts.values())
     ones = sum(r["label"] for r in sample)

@@ -13,16 +13,14 @@ from glyphframe.llm.common import checkpoint_dir, table
 
 
 def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a quality label that may train: (doc_id, text, quality)."""
-    docs = table(spark, sf_dir, "documents").where(~quality.held_out(F.col("doc_id"))).select("doc_id", "text")
-    marks = table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", "quality")
-    return docs.join(marks, "doc_id")
+    """Quality labels that may train."""
+    return table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id"))).select("doc_id", "quality")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
-    model = quality.train(quality_labels(spark, sf_dir))
-    scored = quality.score(table(spark, sf_dir, "documents"), model)
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, quality_labels(spark, sf_dir)))
     return scored.select(
         F.col("id").alias("doc_id"),
         quality.held_out(F.col("id")).alias("held_out"),
@@ -72,8 +70,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of all documents, and whether the rules keep them."""
-    model = rules.train(quality_labels(spark, sf_dir))
-    return rules.evaluate(table(spark, sf_dir, "documents"), model).withColumnRenamed("id", "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    model = rules.train(docs, quality_labels(spark, sf_dir))
+    return rules.evaluate(docs, model).withColumnRenamed("id", "doc_id")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphframe.llm.common import sample_ids
+from glyphframe.llm.common import labelled_sample
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -187,22 +187,20 @@ class Crf:
 TRAIN_LINES = 400
 
 
-def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Crf:
-    """A CRF from rows (id, text, label)."""
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.where("label in (0, 1) and text is not null")
-    sample = sorted(sample_ids(rows, "id", "label", per_class, "rules").collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["text"]))
-    xs, labels = [], []
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Crf:
+    """A CRF from texts and labels (0 or 1) of ids."""
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, per_class, "rules")
+    xs, marks = [], []
     for r in sample:
-        x, _ = observe(r["text"].encode())
+        x, _ = observe((r["text"] or "").encode())
         for at in range(0, len(x), TRAIN_LINES):
             xs.append(x[at : at + TRAIN_LINES])
-            labels.append(r["label"])
-    if len(set(labels)) < 2:
+            marks.append(r["label"])
+    if len(set(marks)) < 2:
         return Crf.flat()
-    ys = [np.full(len(x), 1 - label) for x, label in zip(xs, labels)]
+    ys = [np.full(len(x), 1 - label) for x, label in zip(xs, marks)]
     first = Crf.flat().fit(xs, ys)
-    for i, label in enumerate(labels):
+    for i, label in enumerate(marks):
         if label == 0:
             decoded = first.viterbi(xs[i])
             ys[i] = decoded if decoded.any() else ys[i]
