@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphframe.llm import decontaminate, language, licence, lines, mixing, quality, rules, sharding, simhash
+from glyphframe.llm import decontaminate, language, licence, lines, mixing, quality, rules, sharding, simhash, suffixes
 from glyphframe.llm.common import checkpoint_dir, table
 
 
@@ -68,6 +68,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that repeat 100 bytes of an earlier place."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of all documents, and whether the rules keep them."""
     docs = table(spark, sf_dir, "documents")
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_lines": op5_lines,
     "op6_simhash": op6_simhash,
+    "op7_suffixes": op7_suffixes,
     "op8_rules": op8_rules,
     "op9_language": op9_language,
     "op10_licences": op10_licences,
