@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphframe.llm.common import checkpoint_dir
@@ -47,8 +47,10 @@ PIECE = 1 << 18
 #: Different surroundings of an anchor that one task may get.
 CLASS_ROWS = 20_000
 #: Bytes of surroundings that are sorted at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 BROADCAST_ROWS = 100_000
+#: Texts whose surroundings are handed on at a time.
+ROWS = 1000
 NO_ID = -(1 << 63)
 _M = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
@@ -96,11 +98,12 @@ def anchors(data: bytes, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         own = whole[at : at + PIECE + LENGTH - 1]
         h = gram_hashes(own, values)
         least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), GRAMS)
-        place = (least & low).astype(np.int64)
-        begins = np.flatnonzero(np.diff(place, prepend=-1))
-        hashes.append(h[place[begins]])
+        own_hash = h[(least & low).astype(np.int64)]
+        # neighbouring anchors with the same bytes (text that repeats itself) count as one
+        begins = np.flatnonzero(np.concatenate([[True], own_hash[1:] != own_hash[:-1]]))
+        hashes.append(own_hash[begins])
         firsts.append(begins + at)
-        numbers.append(np.diff(begins, append=len(place)))
+        numbers.append(np.diff(begins, append=len(own_hash)))
     if not hashes:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none, none
@@ -156,25 +159,44 @@ def earliest(ids: np.ndarray, places: np.ndarray, surroundings: list[bytes]) ->
     return which[hits[begins]], inside[hits[begins]], np.diff(begins, append=len(hits))
 
 
-def removed_mask(size: int, spans: list[tuple[int, int]], firsts: list[tuple[int, int]]) -> np.ndarray:
-    """Bytes that lie in a repeat: strings that start in ``spans`` but not in ``firsts``, both as (start, number)."""
-    step = np.zeros(size + 1, dtype=np.int64)
-    for start, n in spans:
-        step[start] += 1
-        step[start + n] -= 1
-    repeat = np.cumsum(step[:size]) > 0
-    for start, n in firsts:
-        repeat[start : start + n] = False
+def marked(size: int, starts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Places that runs (start, number) cover."""
+    step = np.bincount(starts, minlength=size + 1) - np.bincount(starts + numbers, minlength=size + 1)
+    return np.cumsum(step[:size]) > 0
+
+
+def removed_mask(size: int, spans: tuple[np.ndarray, np.ndarray], firsts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Bytes that lie in a repeat: strings that start in ``spans`` but not in ``firsts``, both as (starts, numbers)."""
+    repeat = marked(size, *spans) & ~marked(size, *firsts)
     total = np.cumsum(repeat)
     total[LENGTH:] -= total[:-LENGTH].copy()
     return total > 0
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the checkpoint folder, which is smaller than a checkpoint of rows."""
-    path = f"{checkpoint_dir(df.sparkSession)}/glyphframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _lists(column: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a column of lists of structs: where each row's list begins (and the last ends), and the fields of all."""
+    if column.null_count == len(column):
+        return np.zeros(len(column) + 1, dtype=np.int64), [np.zeros(0, dtype=np.int64) for _ in names]
+    values = column.values
+    return column.offsets.to_numpy().astype(np.int64), [values.field(values.type.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+
+
+class Scratch:
+    """Tables in the checkpoint folder for the time of one call."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base = spark, f"{checkpoint_dir(spark)}/glyphframe-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as a table, which is smaller than a checkpoint of rows, and read again."""
+        df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
+        # what was shuffled for it is deleted once the driver has collected its garbage
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.parquet(f"{self.base}/{name}")
+
+    def discard(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _scan_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,18 +228,20 @@ def _unpacked(data: bytes) -> bytes:
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h, ids, marks, starts, around = [], [], [], [], []
-        for id_, mark, packed, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            data = _unpacked(packed)
-            for s in spans:
-                h.append(s["h"])
-                ids.append(id_)
-                marks.append(mark)
-                starts.append(s["start"])
-                around.append(data[s["start"] : s["start"] + s["n"] + LENGTH - 1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h, pa.int64()), pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(starts, pa.int32()), pa.array(around, pa.binary())], names=["h", "id", "mark", "start", "around"]
-        )
+        ids, marks, packed = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+        at, (h, starts, numbers) = _lists(batch.column(3), "h", "start", "n")
+        for low in range(0, len(ids), ROWS):
+            high = min(low + ROWS, len(ids))
+            around = []
+            for i in range(low, high):
+                data = _unpacked(packed[i].as_py())
+                a, b = starts[at[i] : at[i + 1]], starts[at[i] : at[i + 1]] + numbers[at[i] : at[i + 1]] + (LENGTH - 1)
+                around += [data[x:y] for x, y in zip(a.tolist(), b.tolist())]
+            own, sizes = slice(at[low], at[high]), np.diff(at[low : high + 1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[own]), pa.array(np.repeat(ids[low:high], sizes)), pa.array(np.repeat(marks[low:high], sizes)), pa.array(starts[own]), pa.array(around, pa.binary())],
+                names=["h", "id", "mark", "start", "around"],
+            )
 
 
 def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,18 +287,23 @@ def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, out = batch.column(0), []
-        for packed, spans, firsts in zip(*(c.to_pylist() for c in batch.columns[1:])):
-            data = _unpacked(packed)
-            if not spans:
+        packed, out = batch.column(1), []
+        at, spans = _lists(batch.column(2), "start", "n")
+        first_at, firsts = _lists(batch.column(3), "start", "n")
+        for i in range(batch.num_rows):
+            data = _unpacked(packed[i].as_py())
+            if at[i] == at[i + 1]:
                 out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
                 continue
-            gone = removed_mask(len(data), [(s["start"], s["n"]) for s in spans], [(s["start"], s["n"]) for s in firsts or ()])
+            own = tuple(x[at[i] : at[i + 1]] for x in spans)
+            gone = removed_mask(len(data), own, tuple(x[first_at[i] : first_at[i + 1]] for x in firsts))
             kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-            runs = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
+            runs = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
             out.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
         columns = list(zip(*out)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        )
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,12 +313,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = own.where(F.octet_length("text") >= LENGTH).mapInArrow(_scan_anchors, "h bigint, id bigint, mark int, start int, n int")
     shared = found.groupBy(F.col("h").alias("sh")).agg(F.count("*").alias("c")).where("c > 1").select("sh")
     active = found.join(shared, F.col("h") == F.col("sh"), "left_semi")
-    spans = _stored(active.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n", "h")).alias("spans")))
+    scratch = Scratch(docs.sparkSession)
+    spans = scratch.stored(active.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n", "h")).alias("spans")), "spans")
     packed = own.mapInArrow(_compress, "id bigint, mark int, packed binary")
     around = packed.join(spans, ["id", "mark"]).select("id", "mark", "packed", "spans").mapInArrow(_surroundings, "h bigint, id bigint, mark int, start int, around binary")
     place = F.min(F.struct("id", "start", "mark")).alias("p")
-    different = _stored(around.groupBy("h", "around").agg(place).select("h", F.col("p.id").alias("id"), F.col("p.mark").alias("mark"), F.col("p.start").alias("start"), "around"))
-    heavy = _stored(different.groupBy(F.col("h").alias("hh")).agg(F.count("*").alias("c")).where(F.col("c") > CLASS_ROWS).select("hh"))
+    different = around.groupBy("h", "around").agg(place).select("h", F.col("p.id").alias("id"), F.col("p.mark").alias("mark"), F.col("p.start").alias("start"), "around")
+    different = scratch.stored(different, "different")
+    heavy = scratch.stored(different.groupBy(F.col("h").alias("hh")).agg(F.count("*").alias("c")).where(F.col("c") > CLASS_ROWS).select("hh"), "heavy")
     n_heavy = heavy.count()
     marked = F.broadcast(heavy) if n_heavy <= BROADCAST_ROWS else heavy
     on = F.col("h") == F.col("hh")
@@ -300,7 +331,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         single = different.join(marked, on, "left_semi").select("h", "id", "mark", "start", "around").mapInArrow(_single_strings, "g1 bigint, g2 bigint, id bigint, mark int, start int")
         lone = single.groupBy("g1", "g2").agg(place).select("p.id", "p.mark", "p.start", F.lit(1).alias("n"))
         firsts = firsts.unionByName(lone)
-    firsts = _stored(firsts.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n")).alias("firsts")))
+    firsts = scratch.stored(firsts.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n")).alias("firsts")), "firsts")
+    scratch.discard("different")
     whole = packed.join(spans.withColumn("spans", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n")))), ["id", "mark"], "left")
     whole = whole.join(firsts, ["id", "mark"], "left").select("id", "packed", "spans", "firsts")
     out = whole.mapInArrow(_digest, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
