@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,10 +112,13 @@ def train(docs: DataFrame | None, *, text_col: str = "text", unknown_rows: int =
     r = random.Random(seed)
     strange: list[list[str]] = []
     if docs is not None:
-        lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line")).where("line rlike '[A-Za-z0-9]'")
-        lines = lines.where((F.xxhash64("line") % 64 == 0) & (F.length("line") < 2000)).select("line").distinct()
-        order = F.xxhash64(F.lit("licence"), "line")
-        strange = [words_of(x["line"]) for x in lines.orderBy(order, "line").limit(unknown_rows).collect()]
+        n = docs.agg(F.sum(F.size(F.split(text_col, "\n")))).first()[0] or 0
+        lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line"))
+        # a threshold on a hash of the line: about four times as many as are wanted, copies once
+        unit = F.xxhash64(F.lit("licence"), "line").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+        lines = lines.where((unit * n < 4.0 * unknown_rows) & (F.length("line") < 2000)).where("line rlike '[A-Za-z0-9]'").distinct()
+        found = sorted((xxhash.xxh64_intdigest(x["line"]), x["line"]) for x in lines.collect())
+        strange = [words_of(line) for _, line in found[:unknown_rows]]
     vocabulary = sorted({w for x in strange for w in x}) or ["word"]
     known = {k: [frozenset(grams(words_of(t))) for t in v] for k, v in TEMPLATES.items()}
     usual = lambda x: any(len(t & set(grams(x))) / len(t) >= LEAST_COVER for v in known.values() for t in v)
