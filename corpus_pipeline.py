@@ -20,8 +20,7 @@ N_SHARDS = 40
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    model = quality.train(table(spark, sf_dir, "documents"), quality_labels(spark, sf_dir))
-    return quality.accepted(docs, model)
+    return quality.accepted(docs, quality.train(docs, quality_labels(spark, sf_dir)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
