@@ -56,7 +56,7 @@ def quote_column(text: Column) -> Column:
 
 def fold_fixed(text: str) -> str:
     """Fixed text without regard to case: simple upper mapping, under which the dotted capital I is no i."""
-    return "(?iu)" + "".join(("(?!\u0130)" if c in "iI\u0131" else "") + quote(c) for c in text)
+    return "(?iu)" + "".join(("(?!(?-i:\u0130))" if c in "iI\u0131" else "") + quote(c) for c in text)
 
 
 def to_java(pattern: str) -> str:

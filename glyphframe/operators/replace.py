@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from glyphframe.functions import kernels
 from glyphframe.functions.dialect import facts, fix_replacement, fix_replacement_column, flags, java_regex, shift_groups, shift_replacement, to_java
 from glyphframe.functions.patterns import Pattern, as_pattern, searchable, text, value
-from glyphframe.operators.locate import coll_first, coll_length, needs_kernel, python_pattern
+from glyphframe.operators.locate import MARK, coll_first, coll_length, needs_kernel, python_pattern
 
 ANY = str | Column | Pattern
 
@@ -66,10 +66,22 @@ def _with_nulls(s: Column, p: Pattern, replacement, result: Column) -> Column:
     return F.when(replacement.isNull(), _null_if_matched(s, p)).otherwise(result)
 
 
-def _first_regex(p: Pattern) -> str:
-    """A pattern that matches from the text's start to the end of the first match; groups move up by one."""
-    java = to_java(p.text)
-    return flags(p, java) + r"\A((?s:.*?))(?:" + shift_groups(java, 1) + ")"
+def _first_regex(p: Pattern) -> Column:
+    """A pattern from the text's start to the end of the first match: group 1 is what goes before, group 2 the match."""
+    if p.static and not p.get("literal"):
+        java = to_java(p.text)
+        return F.lit(flags(p, java) + r"\A((?s:.*?))(" + shift_groups(java, 2) + ")")
+    return F.concat(F.lit(r"\A((?s:.*?))("), value(java_regex(p)), F.lit(")"))
+
+
+def _first_replacement(p: Pattern, replacement: str | Column) -> Column:
+    """A replacement for ``_first_regex``: group references move up by two."""
+    if isinstance(replacement, str):
+        return F.concat(F.lit("$1"), _java_replacement(p, replacement, 2))
+    moved = F.regexp_replace(fix_replacement_column(replacement), r"(?<!\\)\$(\d)", MARK + "$1")
+    for d in range(10):
+        moved = F.replace(moved, F.lit(f"{MARK}{d}"), F.lit(f"${d + 2}"))
+    return F.concat(F.lit("$1"), moved)
 
 
 def str_replace(string, pattern: ANY, replacement) -> Column:
@@ -84,17 +96,7 @@ def str_replace(string, pattern: ANY, replacement) -> Column:
         return _null_if_matched(s, p)
     r = value(replacement)
     if p.kind == "regex":
-        if p.static and not p.get("literal"):
-            first = _first_regex(p)
-            if isinstance(replacement, str):
-                return F.regexp_replace(s, F.lit(first), F.concat(F.lit("$1"), _java_replacement(p, replacement, 1)))
-            moved = F.regexp_replace(fix_replacement_column(replacement), r"\$8", "\\$9")
-            for d in range(7, -1, -1):
-                moved = F.regexp_replace(moved, rf"(?<!\\)\${d}", f"\\${d + 1}")
-            return _with_nulls(s, p, replacement, F.regexp_replace(s, F.lit(first), F.concat(F.lit("$1"), moved)))
-        first = F.concat(F.lit(r"\A((?s:.*?))(?:"), value(java_regex(p)), F.lit(")"))
-        new = F.lit(fix_replacement(replacement)) if isinstance(replacement, str) else fix_replacement_column(replacement)
-        return _with_nulls(s, p, replacement, F.regexp_replace(s, first, F.concat(F.lit("$1"), new)))
+        return _with_nulls(s, p, replacement, F.regexp_replace(s, _first_regex(p), _first_replacement(p, replacement)))
     if p.kind == "coll":
         at = coll_first(s, p)
         size = coll_length(s, p, at)

@@ -13,7 +13,7 @@ from glyphframe.operators.locate import MARK, coll_marked, coll_spans, invert_ma
 
 ANY = str | Column | Pattern
 #: All line terminators of Unicode.
-LINE_END = "\r\n|[\n\x0b\x0c\r\x85  ]"
+LINE_END = "\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]"
 
 
 def _limit(n: int | float | None) -> int:

@@ -97,7 +97,7 @@ def _collation_join(spark, sf_dir):
 _verb("count_regex", *DOC, lambda: {"n": s.str_count("text", "[aeiou]"), "words": s.str_count("text", r"[^\s]+")},
       {"n": "len(regexp_extract_all(text, '[aeiou]'))::INT", "words": r"len(regexp_extract_all(text, '[^\s]+'))::INT"})
 _verb("count_fixed", *DOC, lambda: {"n": s.str_count("text", s.fixed("the")), "over": s.str_count("text", s.fixed("nn", overlap=True))},
-      {"n": "((length(text) - length(replace(text, 'the', ''))) / 3)::INT", "over": "len(list_filter(generate_series(1, length(text)), i -> substring(text, i, 2) = 'nn'))::INT"})
+      {"n": "((length(text) - length(replace(text, 'the', ''))) / 3)::INT", "over": "len(list_filter(generate_series(1, length(text)), lambda i: substring(text, i, 2) = 'nn'))::INT"})
 _verb("count_coll", *PART, lambda: {"n": s.str_count("p_name", s.coll("E", ignore_case=True))}, {"n": "(length(p_name) - length(replace(lower(p_name), 'e', '')))::INT"})
 _verb("count_characters", *DOC, lambda: {"n": s.str_count("text", "")}, {"n": "length_grapheme(text)::INT"})
 _verb("count_words", *PART, lambda: {"n": s.str_count("p_name", s.boundary("word"))}, {"n": "len(regexp_extract_all(p_name, '[A-Za-z0-9]+'))::INT"})
@@ -107,11 +107,11 @@ _verb("locate_regex", *DOC, lambda: {"start": s.str_locate("text", "[0-9]+")["st
       {"start": "nullif(strpos(text, regexp_extract(text, '[0-9]+')) * regexp_matches(text, '[0-9]+')::INT, 0)::INT",
        '"end"': "(nullif(strpos(text, regexp_extract(text, '[0-9]+')) * regexp_matches(text, '[0-9]+')::INT, 0) + length(regexp_extract(text, '[0-9]+')) - 1)::INT"})
 _verb("locate_all_regex", *PART, lambda: {"spans": _spans(s.str_locate_all("p_name", "[aeiou]"))},
-      {"spans": "array_to_string(list_transform(list_filter(generate_series(1, length(p_name)), i -> p_name[i] IN ('a', 'e', 'i', 'o', 'u')), i -> i || '-' || i), ',')"})
+      {"spans": "array_to_string(list_transform(list_filter(generate_series(1, length(p_name)), lambda i: p_name[i] IN ('a', 'e', 'i', 'o', 'u')), lambda i: i || '-' || i), ',')"})
 _verb("locate_all_fixed_coll", *PART, lambda: {"fixed": _spans(s.str_locate_all("p_name", s.fixed("e"))), "coll": _spans(s.str_locate_all("p_name", s.coll("E", ignore_case=True)))},
-      dict.fromkeys(("fixed", "coll"), "array_to_string(list_transform(list_filter(generate_series(1, length(p_name)), i -> p_name[i] = 'e'), i -> i || '-' || i), ',')"))
+      dict.fromkeys(("fixed", "coll"), "array_to_string(list_transform(list_filter(generate_series(1, length(p_name)), lambda i: p_name[i] = 'e'), lambda i: i || '-' || i), ',')"))
 _verb("invert_match", *PART, lambda: {"gaps": _spans(s.invert_match(s.str_locate_all("p_name", s.fixed("e"))))},
-      {"gaps": "(SELECT array_to_string(list_transform(generate_series(0, len(at)), i -> (CASE WHEN i = 0 THEN 0 ELSE at[i] + 1 END) || '-' || (CASE WHEN i = len(at) THEN -1 ELSE at[i + 1] - 1 END)), ',') FROM (SELECT list_filter(generate_series(1, length(p_name)), i -> p_name[i] = 'e') AS at))"})
+      {"gaps": "(SELECT array_to_string(list_transform(generate_series(0, len(pos)), lambda i: (CASE WHEN i = 0 THEN 0 ELSE pos[i] + 1 END) || '-' || (CASE WHEN i = len(pos) THEN -1 ELSE pos[i + 1] - 1 END)), ',') FROM (SELECT list_filter(generate_series(1, length(p_name)), lambda i: p_name[i] = 'e') AS pos))"})
 _verb("locate_words", *PART, lambda: {"spans": _spans(s.str_locate_all("p_name", s.boundary("word")))}, None)
 
 # Extraction
@@ -121,7 +121,7 @@ _verb("extract_regex", *PAGE, lambda: {"number": s.str_extract("url", "[0-9]+"),
 _verb("extract_fixed_coll", *PART, lambda: {"fixed": s.str_extract("p_name", s.fixed("ring")), "coll": s.str_extract("p_name", s.coll("RING", ignore_case=True)), "letter": s.str_extract("p_name", "")},
       {"fixed": "CASE WHEN contains(p_name, 'ring') THEN 'ring' END", "coll": "CASE WHEN contains(p_name, 'ring') THEN 'ring' END", "letter": "p_name[1]"})
 _verb("extract_all_regex", *PAGE, lambda: {"numbers": _joined(s.str_extract_all("url", "[0-9]+")), "three": _joined(s.str_extract_all("url", "[a-z]+", simplify=True, width=3))},
-      {"numbers": "array_to_string(regexp_extract_all(url, '[0-9]+'), '|')", "three": "array_to_string(list_transform([1, 2, 3], i -> coalesce(regexp_extract_all(url, '[a-z]+')[i], '')), '|')"})
+      {"numbers": "array_to_string(regexp_extract_all(url, '[0-9]+'), '|')", "three": "array_to_string(list_transform([1, 2, 3], lambda i: coalesce(regexp_extract_all(url, '[a-z]+')[i], '')), '|')"})
 _verb("extract_all_others", *PART, lambda: {"fixed": _joined(s.str_extract_all("p_name", s.fixed("e"))), "coll": _joined(s.str_extract_all("p_name", s.coll("E", ignore_case=True))), "words": _joined(s.str_extract_all("p_name", s.boundary("word")))},
       {"fixed": "array_to_string(regexp_extract_all(p_name, 'e'), '|')", "coll": "array_to_string(regexp_extract_all(p_name, 'e'), '|')", "words": "array_to_string(regexp_extract_all(p_name, '[A-Za-z0-9]+'), '|')"})
 _verb("match_groups", *PAGE, lambda: {n: s.str_match("url", "^(https?)://(?<host>[^/]+)/")[n] for n in ("match", "g1", "host")},
@@ -153,7 +153,7 @@ _verb("split_regex", *PAGE, lambda: {"pieces": _joined(s.str_split("url", "[/.?]
       {"pieces": "array_to_string(string_split_regex(url, '[/.?]'), '|')", "three": "array_to_string(string_split_regex(url, '[/.?]')[:2], '|') || '|' || url[length(array_to_string(string_split_regex(url, '[/.?]')[:2], '|')) + 2:]"})
 _verb("split_fixed_coll", *PART, lambda: {"fixed": _joined(s.str_split("p_name", s.fixed(" "))), "coll": _joined(s.str_split("p_name", s.coll("E", ignore_case=True))), "letters": _joined(s.str_split("p_name", ""))},
       {"fixed": "array_to_string(string_split(p_name, ' '), '|')", "coll": "array_to_string(string_split(p_name, 'e'), '|')", "letters": "array_to_string(string_split(p_name, ''), '|')"})
-_verb("split_padded", *PART, lambda: {"pieces": _joined(s.str_split_fixed("p_name", s.fixed(" "), 4))}, {"pieces": "array_to_string(list_transform([1, 2, 3, 4], i -> coalesce(string_split(p_name, ' ')[i], '')), '|')"})
+_verb("split_padded", *PART, lambda: {"pieces": _joined(s.str_split_fixed("p_name", s.fixed(" "), 4))}, {"pieces": "array_to_string(list_transform([1, 2, 3, 4], lambda i: coalesce(string_split(p_name, ' ')[i], '')), '|')"})
 _verb("split_piece", *PAGE, lambda: {"third": s.str_split_i("url", s.fixed("/"), 3), "last": s.str_split_i("url", s.fixed("/"), -1), "ninth": s.str_split_i("url", s.fixed("/"), 9)},
       {"third": "string_split(url, '/')[3]", "last": "string_split(url, '/')[-1]", "ninth": "string_split(url, '/')[9]"})
 _verb("split_lines", *DOC, lambda: {"n": F.size(s.split_lines("text")), "first": F.get(s.split_lines("text"), F.lit(0))}, {"n": "len(string_split(text, chr(10)))::INT", "first": "string_split(text, chr(10))[1]"})
@@ -187,7 +187,7 @@ _verb("pad_sides", *PART, lambda: {"a": s.str_pad("p_name", 20), "b": s.str_pad(
 _verb("trim_squish", *PART, lambda: {k: v for k, v in (("both", s.str_trim(F.concat(F.lit(" \t "), "p_name", F.lit(" \n")))), ("l", s.str_trim(F.concat(F.lit("  "), "p_name", F.lit(" ")), "left")), ("squish", s.str_squish(F.concat(F.lit("  "), "p_name", F.lit(" \t x ")))))},
       {'"both"': "p_name", "l": "p_name || ' '", "squish": "p_name || ' x'"})
 _verb("dup_text", *PART, lambda: {"two": s.str_dup("p_brand", 2), "sep": s.str_dup("p_brand", F.col("p_size") % 4, sep="-"), "none": s.str_dup("p_brand", -1)},
-      {"two": "repeat(p_brand, 2)", "sep": "array_to_string(list_transform(generate_series(1, p_size % 4), i -> p_brand), '-')", "none": "NULL::VARCHAR"})
+      {"two": "repeat(p_brand, 2)", "sep": "array_to_string(list_transform(generate_series(1, p_size % 4), lambda i: p_brand), '-')", "none": "NULL::VARCHAR"})
 _verb("wrap_text", "conversations", ("conv_id", "turn"), lambda: {"out": s.str_wrap("text", 60, indent=2, exdent=1)}, None)
 
 # Combining
@@ -213,7 +213,7 @@ def _flatten_comma(spark, sf_dir):
 # Case
 
 _verb("case_mapping", *PART, lambda: {"up": s.str_to_upper("p_name"), "low": s.str_to_lower("p_type"), "title": s.str_to_title("p_name"), "sentence": s.str_to_sentence("p_name")},
-      {"up": "upper(p_name)", "low": "lower(p_type)", "title": "array_to_string(list_transform(string_split(p_name, ' '), w -> upper(w[1]) || w[2:]), ' ')", "sentence": "upper(p_name[1]) || p_name[2:]"})
+      {"up": "upper(p_name)", "low": "lower(p_type)", "title": "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ')", "sentence": "upper(p_name[1]) || p_name[2:]"})
 _verb("case_identifiers", *CUST, lambda: {"snake": s.str_to_snake("c_name"), "kebab": s.str_to_kebab("c_name"), "camel": s.str_to_camel("c_name"), "pascal": s.str_to_camel("c_name", first_upper=True)},
       {"snake": "lower(replace(c_name, '#', '_'))", "kebab": "lower(replace(c_name, '#', '-'))", "camel": "lower(replace(c_name, '#', ''))", "pascal": "replace(c_name, '#', '')"})
 

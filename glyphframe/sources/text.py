@@ -9,7 +9,7 @@ from glyphframe.operators.encoding import str_conv
 from glyphframe.operators.split import split_lines
 
 #: Terminators that Spark's text reader does not know.
-MORE_ENDS = "[\x0b\x0c\x85  ]"
+MORE_ENDS = "[\x0b\x0c\x85\u2028\u2029]"
 
 
 def read_raw(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -25,7 +25,7 @@ def read_lines(spark: SparkSession, path: str | list[str], encoding: str | None
     for larger ones there is ``scan_lines``.
     """
     decoded = str_conv("content", encoding or "utf-8")
-    texts = read_raw(spark, path).select("path", F.regexp_replace(decoded, "^﻿", "").alias("text"))
+    texts = read_raw(spark, path).select("path", F.regexp_replace(decoded, "^\ufeff", "").alias("text"))
     lines = texts.where(F.col("text") != "").select("path", F.posexplode(split_lines("text", drop_last=True)).alias("pos", "line"))
     return lines.select("path", (F.col("pos") + 1).alias("line_no"), "line")
 
