@@ -68,8 +68,8 @@ def enc_info(encoding: str) -> dict:
         single = all(len(bytes([i]).decode(name, "replace")) == 1 for i in range(256)) and not name.startswith("utf")
     except (UnicodeDecodeError, LookupError):
         pass
-    own = name.replace("-", "_")
-    return {"name": name, "aliases": sorted(k for k, v in aliases.items() if v == own), "ascii_superset": ascii_like, "single_byte": single}
+    own = aliases.get(name.replace("-", "_"), name.replace("-", "_"))
+    return {"name": name, "aliases": sorted({own, *(k for k, v in aliases.items() if v == own)}), "ascii_superset": ascii_like, "single_byte": single}
 
 
 def enc_get() -> str:

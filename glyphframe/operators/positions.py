@@ -39,6 +39,7 @@ def str_sub_replace(string, start: int | Column, end: int | Column = -1, value_:
     first, last = _bounds(s, a, b)
     last = F.greatest(last, first)
     out = F.concat(s.substr(F.lit(1), first), new, s.substr(last + 1, F.length(s)))
+    out = F.when(a.isNotNull() & b.isNotNull(), out)
     return F.coalesce(out, s) if omit_na else out
 
 

@@ -153,14 +153,13 @@ def _by_function(s: Column, p: Pattern, replacement, every: bool) -> Column:
     if needs_kernel(p):
         body = python_pattern(p)
 
-        def pieces(t: str) -> dict:
+        def pieces(t: str) -> list[list[str]]:
             found = kernels.spans(body, t)[: None if every else 1]
             ends = [0, *(b for _, b in found)]
-            return {"gaps": [t[a:b] for a, b in zip(ends, [*(a for a, _ in found), len(t)])], "hits": [t[a:b] for a, b in found]}
+            return [[t[a:b] for a, b in zip(ends, [*(a for a, _ in found), len(t)])], [t[a:b] for a, b in found]]
 
-        kind = T.StructType([T.StructField("gaps", kernels.STRINGS), T.StructField("hits", kernels.STRINGS)])
-        found = kernels.mapped(kind, pieces, s)
-        gaps, hits = found["gaps"], found["hits"]
+        found = kernels.mapped(T.ArrayType(kernels.STRINGS), pieces, s)
+        gaps, hits = F.get(found, F.lit(0)), F.get(found, F.lit(1))
     else:
         java = F.lit(java_regex(p))
         gaps = F.split(s, java, -1 if every else 2)
