@@ -57,10 +57,12 @@ def _probes(w: Column, n: Column, lengths: list[int], window: int, k: int) -> Co
 
     none = F.array().cast(PROBES)
     out = F.when(n >= window, let(F.transform(F.sequence(F.lit(0), n - k), lambda i: gram(i, k)), winnowed)).otherwise(none)
-    for length in lengths:
-        every = F.transform(F.sequence(F.lit(0), n - length), lambda i, m=length: F.struct(F.lit(m).alias("len"), i.cast("int").alias("pos"), gram(i, m).alias("h")))
-        out = F.concat(out, F.when(n >= length, every).otherwise(none))
-    return out
+
+    def every(size: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(F.lit(size).alias("len"), i.cast("int").alias("pos"), gram(i, size).alias("h")))
+        return F.when(n >= size, runs).otherwise(none)
+
+    return F.concat(out, *map(every, lengths)) if lengths else out
 
 
 def _text(w: Column, at: Column, length: Column) -> Column:

@@ -113,7 +113,7 @@ def _edge(masses: DataFrame, goals: DataFrame, step: str, before: Column) -> Dat
 def plan(
     rows: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS
 ) -> DataFrame:
-    """From drawn rows, one row a source: its size, target, epochs, and where the selection ends."""
+    """From drawn rows, one row a source: its __source_size, __target, __epochs, and where the selection ends."""
     per_bin = cut(rows.groupBy("__source", "__bin").agg(F.sum("__size").alias("__mass")))
     sizes = per_bin.groupBy(F.col("__source").alias("source")).agg(F.sum("__mass").cast("long").alias("source_size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
@@ -154,7 +154,7 @@ def plan(
     edges = edges.join(closing, F.col("__source").eqNullSafe(F.col("__c")), "left").select(F.col("__source").alias("__e"), "__edge_key", "__close_key")
     return cut(
         goals.join(edges, F.col("__source").eqNullSafe(F.col("__e")), "left").select(
-            "__source", "source_size", "target", "__epochs", "__edge_key", "__close_key"
+            "__source", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__epochs", "__edge_key", "__close_key"
         )
     )
 
@@ -204,8 +204,8 @@ def mix(
         .select(
             F.col("__id").alias(id_col),
             F.col("__size").alias("size"),
-            "source_size",
-            "target",
+            F.col("__source_size").alias("source_size"),
+            F.col("__target").alias("target"),
             (F.col("times") * F.col("__size")).cast("long").alias("taken"),
             F.col("__source").alias("source"),
             "times",

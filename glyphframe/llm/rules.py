@@ -135,9 +135,8 @@ class Crf:
         """The likeliest labels of a sequence."""
         scores = (x @ self.unary.T).tolist()
         (aa, ab), (ba, bb) = self.step.tolist()
-        a = b = 0.0
-        back = []
-        for u, v in scores:
+        (a, b), back = scores[0], [(True, True)]
+        for u, v in scores[1:]:
             from_a, from_b = a + aa >= b + ba, a + ab >= b + bb
             a, b = (a + aa if from_a else b + ba) + u, (a + ab if from_b else b + bb) + v
             back.append((from_a, from_b))

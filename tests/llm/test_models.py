@@ -65,7 +65,7 @@ def test_quality_gradients():
     for name in ("out", "hidden", "bias", "filter"):
         flat, g = n.w[name].ravel(), grad[name].ravel()
         k = int(np.abs(g).argmax())
-        old, step = flat[k], 1e-2
+        old, step = flat[k], 1e-3
         flat[k] = old + step
         up = loss()
         flat[k] = old - step
@@ -162,7 +162,7 @@ def test_temperature_and_penalty():
         noise = int(r.integers(2, 50))
         rows.append((np.array([y, noise]), np.array([1.0, 1.0])))
         labels.append(y if r.random() < 0.8 else 1 - y)
-    model = linear.SparseSoftmax(50, ["a", "b"], l1=1.0).fit(rows, labels)
+    model = linear.SparseSoftmax(50, ["a", "b"], l1=4.0).fit(rows, labels)
     w = model.weights()
     assert (w[2:] == 0).mean() > 0.5 and w[0, 0] > w[0, 1]
     p = np.mean([linear.softmax((v @ w[i]) / model.temperature).max() for i, v in rows])
@@ -197,7 +197,7 @@ def similarity(a, b):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
-@pytest.mark.parametrize("cap", [48, 3])
+@pytest.mark.parametrize("cap", [6, 48, 2])
 def test_similar_groups(spark, monkeypatch, cap):
     monkeypatch.setattr(similar, "CAP", cap)
     r = random.Random(7)
@@ -211,7 +211,7 @@ def test_similar_groups(spark, monkeypatch, cap):
                 edited[k] = f"new{r.randrange(9999)}"
             rows.append((i := i + 1, " ".join(edited)))
     rows += [(i := i + 1, prose(r, 150, 5000)) for _ in range(30)]
-    rows += [(500, rows[0][1]), (501, rows[0][1].upper()), (502, None), (503, ""), (504, "a b"), (505, "a b"), (505, "a b"), (506, "a c")]
+    rows += [(500, rows[0][1]), (501, rows[0][1].translate(str.maketrans("w", "W"))), (502, None), (503, ""), (504, "a b"), (505, "a b"), (505, "a b"), (506, "a c")]
     docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
     kept = similar.one_of_each(docs)
     ids = sorted(x["doc_id"] for x in kept.collect())
