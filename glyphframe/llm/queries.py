@@ -110,6 +110,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Of the operators that SQL can express on whole tables in reasonable time.
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": r"""
+        WITH docs AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+            FROM documents
+        ), items AS (
+            SELECT item_id, ws, least(13, len(ws)) AS m
+            FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark)
+            WHERE len(ws) > 0
+        ), item_windows AS (
+            SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS win
+            FROM (SELECT item_id, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS i FROM items)
+        ), doc_windows AS (
+            SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS win
+            FROM (SELECT doc_id, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS i
+                  FROM docs, (SELECT DISTINCT m FROM items) WHERE len(ws) >= m)
+        ), hits AS (
+            SELECT d.doc_id, d.i, d.m, b.item_id FROM doc_windows d JOIN item_windows b ON d.m = b.m AND d.win = b.win
+        ), words_hit AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM hits)) GROUP BY doc_id
+        ), items_hit AS (
+            SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+            FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+        )
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM docs LEFT JOIN words_hit USING (doc_id) LEFT JOIN items_hit USING (doc_id)
+    """,
     "op5_lines": r"""
         WITH lines AS (
             SELECT doc_id, source, i, string_split(text, chr(10))[i] AS raw,

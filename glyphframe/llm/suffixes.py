@@ -28,6 +28,7 @@ id is smaller than all others.  Ids are integers.  An empty table gives an empty
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -190,7 +191,8 @@ class Scratch:
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as a table, which is smaller than a checkpoint of rows, and read again."""
         df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
-        # what was shuffled for it is deleted once the driver has collected its garbage
+        # what was shuffled for it is deleted once neither Python nor the JVM refers to it
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.parquet(f"{self.base}/{name}")
 
