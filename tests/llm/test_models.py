@@ -237,3 +237,22 @@ def test_pipeline(spark, tmp_path, labelled):
     assert {"doc_id", "text", "shard"} <= set(table.columns)
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in last.collect())
+
+
+def test_stages_take_any_rows(spark, tmp_path, labelled):
+    docs, marks, rows, truth = labelled
+    marks.unionByName(spark.createDataFrame([(None, 1), (3, None), (3, 0)], "doc_id long, quality int")).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "some words"), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = [(None, None, None, None), (1000, None, "en", "s"), (1001, "", None, None), (1002, "long words " * 30_000, "en", "s"), (1003, "a b c", "en", "s"), (1003, "a b c", "en", "s"), (None, "x y", "en", None)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string")
+    table = clashing(docs.limit(30).unionByName(odd))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, table, str(tmp_path))
+        assert set(out.columns) >= set(table.columns) - {"shard"} and out.count() > 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == table.columns, name
+        assert stage(spark, table.where("false"), str(tmp_path)).count() == 0, name
+    name, stage = corpus_pipeline.STAGES[0]
+    whole = clashing(docs.unionByName(odd))
+    assert stage(spark, whole, str(tmp_path)).columns == whole.columns
+    assert stage(spark, whole.where("false"), str(tmp_path)).count() == 0
