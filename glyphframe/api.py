@@ -1,6 +1,7 @@
 """All public verbs in one namespace."""
 
 from glyphframe.functions.patterns import Pattern, as_pattern, boundary, coll, fixed, opts, regex, type_of
+from glyphframe.functions.runtime import icu_info
 from glyphframe.operators.casing import str_to_camel, str_to_kebab, str_to_lower, str_to_sentence, str_to_snake, str_to_title, str_to_upper, to_words
 from glyphframe.operators.combine import str_c, str_flatten, str_flatten_comma, str_glue, str_glue_data, str_interp
 from glyphframe.operators.detect import like_to_regex, str_detect, str_ends, str_equal, str_ilike, str_like, str_starts, str_subset, str_which
