@@ -90,25 +90,28 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[:n], behind[width - 1 : width - 1 + n])
 
 
-def anchors(data: bytes, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first start, number of starts) for the anchors of all strings of a text."""
+def anchors(data: bytes, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first start, number of starts, whether it is several) for the anchors of all strings of a text."""
     whole = np.frombuffer(data, dtype=np.uint8)
-    hashes, firsts, numbers = [], [], []
+    hashes, firsts, numbers, several = [], [], [], []
     low = np.uint64((1 << 24) - 1)
     for at in range(0, len(whole) - LENGTH + 1, PIECE):
         own = whole[at : at + PIECE + LENGTH - 1]
         h = gram_hashes(own, values)
         least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), GRAMS)
-        own_hash = h[(least & low).astype(np.int64)]
+        place = (least & low).astype(np.int64)
+        own_hash = h[place]
         # neighbouring anchors with the same bytes (text that repeats itself) count as one
         begins = np.flatnonzero(np.concatenate([[True], own_hash[1:] != own_hash[:-1]]))
         hashes.append(own_hash[begins])
         firsts.append(begins + at)
-        numbers.append(np.diff(begins, append=len(own_hash)))
+        ends = np.append(begins[1:], len(own_hash))
+        numbers.append(ends - begins)
+        several.append(place[ends - 1] != place[begins])
     if not hashes:
         none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.uint64), none, none
-    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(numbers)
+        return none.astype(np.uint64), none, none, none
+    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(numbers), np.concatenate(several)
 
 
 def eights(buffer: np.ndarray) -> np.ndarray:
@@ -206,14 +209,13 @@ def _scan_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         ids, marks, out = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
         for i, x in enumerate(batch.column(2)):
-            h, first, n = anchors(x.as_py() or b"", values)
+            h, first, n, several = anchors(x.as_py() or b"", values)
             if len(h):
-                out.append((h, np.full(len(h), ids[i]), np.full(len(h), marks[i]), first, n))
+                out.append((h, np.full(len(h), ids[i]), np.full(len(h), marks[i]), first, n, 1 + several))
         if out:
             columns = [np.concatenate(c) for c in zip(*out)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32)), pa.array(columns[4].astype(np.int32))],
-                names=["h", "id", "mark", "start", "n"],
+                [pa.array(columns[0].view(np.int64)), pa.array(columns[1]), *(pa.array(c.astype(np.int32)) for c in columns[2:])], names=["h", "id", "mark", "start", "n", "times"]
             )
 
 
@@ -312,9 +314,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Per row of ``docs``: (id, n_bytes, n_removed, n_spans, kept_sha256)."""
     text = F.col(text_col).cast("binary")
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), (F.coalesce(F.crc32(text), F.lit(0)) - F.lit(1 << 31)).cast("int").alias("mark"), text.alias("text"))
-    found = own.where(F.octet_length("text") >= LENGTH).mapInArrow(_scan_anchors, "h bigint, id bigint, mark int, start int, n int")
-    shared = found.groupBy(F.col("h").alias("sh")).agg(F.count("*").alias("c")).where("c > 1").select("sh")
-    active = found.join(shared, F.col("h") == F.col("sh"), "left_semi")
+    found = own.where(F.octet_length("text") >= LENGTH).mapInArrow(_scan_anchors, "h bigint, id bigint, mark int, start int, n int, times int")
+    shared = found.groupBy(F.col("h").alias("sh")).agg(F.sum("times").alias("c")).where("c > 1").select("sh")
+    active = found.drop("times").join(shared, F.col("h") == F.col("sh"), "left_semi")
     scratch = Scratch(docs.sparkSession)
     spans = scratch.stored(active.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n", "h")).alias("spans")), "spans")
     packed = own.mapInArrow(_compress, "id bigint, mark int, packed binary")

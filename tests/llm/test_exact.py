@@ -346,7 +346,7 @@ def test_repeats(spark, monkeypatch, rows, piece):
     monkeypatch.setattr(suffixes, "CHUNK", 2000)
     r = random.Random(9)
     texts = [(i, t) for i, t, *_ in corpus(7, 40)]
-    texts += [(100, "ab" * 300), (101, "ab" * 120), (102, "x" * 99), (103, "x" * 100), (104, "x" * 101), (105, prose(r, 900)), (None, texts[0][1])]
+    texts += [(100, "ab" * 300), (101, "ab" * 120), (102, "x" * 99), (103, "x" * 100), (104, "x" * 101), (105, prose(r, 900)), (106, "xyz1 " * 60), (107, prose(r, 40) + "q1 " * 50), (None, texts[0][1])]
     got = suffixes.remove_repeats(clashing(spark.createDataFrame(texts, "doc_id long, text string")))
     assert sorted(map(tuple, got.collect()), key=repr) == slow_repeats(texts)
     again = spark.createDataFrame(texts + texts[:1], "doc_id long, text string")
