@@ -38,7 +38,7 @@ from glyphframe.llm.simhash import pieces
 SHINGLE, LEAST = 5, 0.8
 WORDS64, BITS, TABLES = 5, 320, 8
 MOST_BITS = 64
-CAP, CENTRES, SAMPLE = 6, 3, 64
+CAP, CENTRES, SAMPLE = 6, 1, 64
 BROADCAST_ROWS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _BYTE_BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], dtype=np.int64)
