@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -194,9 +195,13 @@ class Scratch:
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as a table, which is smaller than a checkpoint of rows, and read again."""
         df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
-        # what was shuffled for it is deleted once neither Python nor the JVM refers to it
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        del df
+        # What was shuffled for it is deleted once neither Python nor the JVM refers to it; plans are held
+        # until their last events are handled, so a second collection follows.
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.7)
         return self.spark.read.parquet(f"{self.base}/{name}")
 
     def discard(self, name: str) -> None:
@@ -220,7 +225,7 @@ def _scan_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=1)
+    packer = zstandard.ZstdCompressor(level=5)
     for batch in batches:
         packed = [packer.compress(x.as_py() or b"") for x in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "mark", "packed"])
