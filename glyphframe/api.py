@@ -6,7 +6,7 @@ from glyphframe.operators.casing import str_to_camel, str_to_kebab, str_to_lower
 from glyphframe.operators.combine import str_c, str_flatten, str_flatten_comma, str_glue, str_glue_data, str_interp
 from glyphframe.operators.detect import like_to_regex, str_detect, str_ends, str_equal, str_ilike, str_like, str_starts, str_subset, str_which
 from glyphframe.operators.encoding import enc_get, enc_info, escape_unicode, str_conv, str_encode, str_escape, trans_nfc
-from glyphframe.operators.extract import str_extract, str_extract_all, str_match, str_match_all
+from glyphframe.operators.extract import simplify, str_extract, str_extract_all, str_match, str_match_all
 from glyphframe.operators.layout import str_dup, str_length, str_pad, str_squish, str_trim, str_width, str_wrap
 from glyphframe.operators.locate import invert_match, str_count, str_locate, str_locate_all
 from glyphframe.operators.ordering import natural_key, str_duplicated, str_order, str_rank, str_sort, str_unique

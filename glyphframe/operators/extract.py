@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +55,14 @@ def str_extract_all(string, pattern: ANY, simplify: bool = False, width: int | N
 def padded(pieces: Column, width: int | None) -> Column:
     """Exactly ``width`` elements, filled up with ""."""
     if width is None:
-        raise ValueError("`simplify` needs a `width`; the widest row is `max(size(...))` of the list form.")
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.get(pieces, i), F.lit("")))
+        raise ValueError("`simplify` needs a `width`; `simplify()` finds it for a whole table.")
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i < F.size(pieces), F.get(pieces, i)).otherwise(F.lit("")))
+
+
+def simplify(df: DataFrame, pieces: Column, prefix: str = "v") -> DataFrame:
+    """``df`` with the elements of an array as columns, as many as the longest has, filled up with ""."""
+    width = df.agg(F.max(F.size(pieces))).first()[0] or 0
+    return df.select("*", *[F.when(F.size(pieces) > i, F.get(pieces, F.lit(i))).otherwise(F.lit("")).alias(f"{prefix}{i + 1}") for i in range(width)])
 
 
 def _regex_only(pattern: ANY) -> Pattern:

@@ -119,3 +119,9 @@ def test_facts():
     assert f("(a)?").optional and f("(a)|b").optional and not f("(a)b").optional
     assert f("a*").may_be_empty and f("(?=a)").may_be_empty and f(r"\b").may_be_empty and not f("a+").may_be_empty
     assert f(r"\((a)").groups == 1 and f(r"[(](a)").groups == 1 and f("(?:a)(b)").groups == 1
+
+
+def test_simplify(strings):
+    df = s.simplify(strings("a-b", "c", None), s.str_split("s", "-"))
+    assert [tuple(r)[2:] for r in df.orderBy("i").collect()] == [("a", "b"), ("c", ""), (None, "")]
+    assert s.simplify(strings("a").where("false"), s.str_split("s", "-")).columns == ["i", "s"]
