@@ -41,7 +41,14 @@ def python_regex(pattern: str, ignore_case: bool = False, multiline: bool = Fals
     own = "".join(f for f, on in (("i", ignore_case), ("m", multiline), ("x", comments), ("s", dotall)) if on)
     body = re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", pattern)
     body = re.sub(r"\\p\{Is(\w+)\}", r"\\p{\1}", body)
-    return (f"(?{own})" if own else "") + body
+    sets = "(?V1)" if _re is not re and "&&" in body else ""
+    return sets + (f"(?{own})" if own else "") + body
+
+
+def substituted(pattern: str, text: str, parts: list[str | int], every: bool) -> str:
+    """Matches replaced by text and groups (numbers, 0 for the match)."""
+    fill = lambda m: "".join(p if isinstance(p, str) else m.group(p) or "" for p in parts)
+    return _re.sub(pattern, fill, text, count=0 if every else 1)
 
 
 def spans(pattern: str, text: str) -> list[tuple[int, int]]:

@@ -46,6 +46,9 @@ def str_extract_all(string, pattern: ANY, simplify: bool = False, width: int | N
         found = F.transform(coll_spans(s, p), lambda x: s.substr(x["start"], x["end"] - x["start"] + 1))
     elif p.kind == "fixed" and not p.get("ignore_case"):
         found = F.array_repeat(value(p.text), str_count(s, p))
+    elif needs_kernel(p):
+        body = python_pattern(p)
+        found = kernels.mapped(kernels.STRINGS, lambda t: [t[a:b] for a, b in kernels.spans(body, t)], s)
     else:
         found = F.regexp_extract_all(s, value(java_regex(p)), F.lit(0))
     found = F.when(s.isNull(), F.array(F.lit(None).cast("string"))).otherwise(found)

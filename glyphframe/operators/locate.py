@@ -12,6 +12,7 @@ from glyphframe.functions.patterns import Pattern, as_pattern, collation_of, tex
 ANY = str | Column | Pattern
 #: Stands for a match while text is split under a collation; a private-use character.
 MARK = "\ue000"
+ALONE = r"^[\x00-\u02FF\u0370-\u0482\u1E00-\u1FFF]*\z"
 SPAN_TYPE = "struct<start:int,end:int>"
 SPANS_TYPE = "array<struct<start:int,end:int>>"
 _WORD_CLASSES = {"skip_word_none": "none", "skip_word_number": "number", "skip_word_letter": "letter", "skip_word_kana": "kana", "skip_word_ideo": "ideo"}
@@ -121,13 +122,19 @@ def str_count(string, pattern: ANY = "") -> Column:
     """Number of matches (of segments, for boundaries)."""
     s, p = text(string), as_pattern(pattern)
     if p.kind == "bound":
-        return F.regexp_count(s, F.lit(r"(?s)\X")) if is_characters(p) else F.size(segment_spans(s, p))
+        if not is_characters(p):
+            return F.size(segment_spans(s, p))
+        # letters of these blocks stand alone, but for a carriage return before a newline
+        simple = F.length(s) - (F.length(s) - F.length(F.replace(s, F.lit("\r\n"), F.lit("")))) / 2
+        return F.when(F.rlike(s, F.lit(ALONE)), simple.cast("int")).otherwise(F.regexp_count(s, F.lit(r"(?s)\X")))
     if p.static and not p.text:
         return F.lit(None).cast("int")
     if p.kind == "coll":
         return _fixed_count(coll_marked(s, p), F.lit(MARK))
     if p.kind == "fixed" and not p.get("ignore_case") and not p.get("overlap"):
         return _fixed_count(s, F.when(value(p.text) != "", value(p.text)))
+    if needs_kernel(p) and p.kind == "regex":  # Java also finds empty matches within surrogate pairs
+        return F.size(regex_spans(s, p))
     return F.regexp_count(s, value(java_regex(p)))
 
 

@@ -53,6 +53,21 @@ def _references(fixed: str) -> list[str]:
     return out
 
 
+def _parts(fixed: str) -> list[str | int]:
+    """Text and group numbers of a fixed replacement."""
+    out: list[str | int] = []
+    i = 0
+    while i < len(fixed):
+        if fixed[i] == "$":
+            out.append(int(fixed[i + 1]))
+            i += 2
+            continue
+        i += fixed[i] == "\\"
+        out.append(fixed[i : i + 1])
+        i += 1
+    return out
+
+
 def _null_if_matched(s: Column, p: Pattern) -> Column:
     from glyphframe.operators.detect import str_detect
 
@@ -134,6 +149,10 @@ def str_replace_all(string, pattern: ANY | Mapping, replacement=None) -> Column:
     elif p.kind == "fixed":
         literal = F.regexp_replace(r, r"([\\$])", "\\\\$1")
         result = F.regexp_replace(s, value(java_regex(p)), literal)
+    elif needs_kernel(p) and isinstance(replacement, str):
+        _java_replacement(p, replacement)  # checks its groups
+        body, parts = python_pattern(p), _parts(fix_replacement(replacement))
+        result = kernels.mapped(T.StringType(), lambda t: kernels.substituted(body, t, parts, True), s)
     else:
         result = F.regexp_replace(s, value(java_regex(p)), _java_replacement(p, replacement))
     return _with_nulls(s, p, replacement, result)

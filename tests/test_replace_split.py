@@ -31,6 +31,9 @@ def test_replace(check):
         (s.str_replace(L("ab\ncd"), "c(d)", r"<\1\0>"), "ab\n<dcd>"),
         (s.str_replace(L("abcabc"), r"(b)(c)", L(r"\2\1")), "acbabc"),
         (s.str_replace(L("xaaa"), r"(a)\1", "_"), "x_a"),
+        (s.str_replace_all(L("a😊b"), "x*", "-"), "-a-😊-b-"),
+        (s.str_replace_all(L("ab"), "(b?)", r"[\1$]"), "[$]a[b$][$]"),
+        (s.str_extract_all(L("😊a"), "a*"), ["", "a", ""]),
         (s.replace_charclass(L("aabbc"), "[ab]", "x", merge=True), "xc"),
     )
 
