@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from glyphframe.llm import decontaminate, golay, graph, lines, mixing, sharding, simhash, suffixes
+from glyphframe.llm import decontaminate, difference_cover, golay, graph, lines, mixing, sharding, simhash, suffixes
 from tests_llm_data import clashing, prose
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -352,3 +352,13 @@ def test_repeats(spark, monkeypatch, rows, piece):
     again = spark.createDataFrame(texts + texts[:1], "doc_id long, text string")
     assert suffixes.remove_repeats(again).count() == len(texts) + 1
     assert suffixes.remove_repeats(again.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["banana" * 5, "abcabcabd" + "mississippi" * 3, "zyxwvutsrqponm", "aaaaaaaaaaaaaaaa", "ab" * 8 + "c"])
+def test_suffix_array(spark, monkeypatch, text):
+    monkeypatch.setattr(difference_cover, "SMALL", 9)
+    df = spark.createDataFrame([(i, ord(c)) for i, c in enumerate(text)], "pos long, c long")
+    got = {r["pos"]: r["place"] for r in difference_cover.suffix_places(df).collect()}
+    order = sorted(range(len(text)), key=lambda i: text[i:])
+    assert got == {i: k for k, i in enumerate(order, 1)}
+    assert difference_cover.suffix_places(df.where("false")).count() == 0
