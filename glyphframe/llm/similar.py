@@ -1,16 +1,16 @@
-"""Groups of texts whose five-word shingles are at least 80 % the same, found by SimHash and Golay-code fuzzy hashing.
+"""Groups of texts whose five-word shingles are at least 80 % the same; the search is exact.
 
-Two bits of a 64-bit fingerprint, as in :mod:`glyphframe.llm.simhash`, are for texts that hardly differ.  At a
-similarity of 0.8 one word in forty may differ, so this search has wider fingerprints: ``BITS`` bits voted for by
-the distinct words of a text, in ``TABLES`` parts.  A part gives keys: some of its bits as they are, with each
-Golay index of 23 further bits, which two errors leave in common.  Texts that share a key
-and differ in at most ``MOST_BITS`` bits are compared by their shingles; links need a similarity of ``LEAST``.
+All distinct shingles of a text are put in one order: those that are frequent in a sample last, by their count,
+the others by their hash.  Of a text with ``n`` shingles the first ``n - ceil(0.8 n) + 1`` are its keys; two texts with a
+similarity of ``LEAST`` have at least one key in common, in whatever order.  The sample decides about speed only.
 
-The exact bits grow with the number of texts, so that a key is shared by chance about
-as often at any size.  Equal texts are one entry from the start.  Keys with more than
-``CAP`` texts are dense clusters: there the texts nearest to the cluster's majority fingerprint are the
-centres, and each text is compared with these; a cluster of edited copies is linked through
-its original, whose fingerprint the majority is.  The work for a cluster is proportional to its size.
+Equal texts are one entry from the start.  Keys of up to ``CAP`` texts give all their pairs, and the number of keys that a pair
+has in common tells most of the unlike ones: with ``o = ceil(4 (na + nb) / 9)`` shingles in common at the least, the text whose
+last key comes first may have only so many keys that the other text does not have.
+
+Keys with more texts are dense.  There, texts are first compared with a centre that is drawn anew in each of up to ``ROUNDS`` rounds,
+which joins the members of a cluster without making its pairs; texts that links have connected need no further comparison.
+Then all pairs of a dense key that are not connected yet are compared, so that no pair is left out.
 
 Edge cases: null and empty texts have no words and are one group, like any equal texts.  Rows of
 equal id and text are equal rows; one of them stays.  Texts of under five words are one shingle.
@@ -22,123 +22,147 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from glyphframe.llm import golay
 from glyphframe.llm.common import cut, let, lower_ascii
 from glyphframe.llm.decontaminate import row_key
 from glyphframe.llm.graph import components
 from glyphframe.llm.simhash import pieces
 
 SHINGLE, LEAST = 5, 0.8
-WORDS64, BITS, TABLES = 5, 320, 8
-MOST_BITS = 64
-CAP, CENTRES, SAMPLE = 6, 1, 64
+CAP, ROUNDS = 16, 4
+#: Texts in the sample for the order of shingles, its least count of a frequent shingle, and the most of these.
+SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 3, 200_000
 BROADCAST_ROWS = 1_000_000
-_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-_BYTE_BITS = np.array([[b >> i & 1 for i in range(8)] for b in range(256)], dtype=np.int64)
-FPS = [f"f{i}" for i in range(WORDS64)]
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide_print(data: bytes) -> tuple[int, list[int]]:
-    """(hash of the word sequence, ``WORDS64`` longs of fingerprint)."""
-    content, distinct = xxhash.xxh3_64(), set()
+def shingles(data: bytes) -> tuple[int, np.ndarray]:
+    """(hash of the word sequence, distinct hashes of the shingles in order of size)."""
+    content, parts = xxhash.xxh3_64(), []
     for words in pieces(data):
         if words:
             content.update(b" ".join(words) + b" ")
-            distinct.update(words)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), dtype=np.uint64, count=len(distinct))
-    out, lane = [], np.arange(8, dtype=np.int64) << 8
-    for mix in _MIX:
-        x = (h ^ (h >> np.uint64(29))) * mix
-        x ^= x >> np.uint64(32)
-        votes = np.bincount((x.view(np.uint8).reshape(-1, 8) + lane).ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS
-        bits = (votes.ravel() * 2 > len(h)).astype(np.uint64)
-        out.append(int((bits << np.arange(64, dtype=np.uint64)).sum()))
-    return content.intdigest(), out
-
-
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        got = [wide_print(x.as_py() or b"") for x in batch.column(3)]
-        table = np.array([[c, *f] for c, f in got], dtype=np.uint64).reshape(-1, 1 + WORDS64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(table[:, i]) for i in range(1 + WORDS64))], names=["id", "h1", "h2", "c", *FPS])
-
-
-def table_keys(exact: int):
-    """A function of fingerprints that gives their keys, with ``exact`` exact bits."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def keys(*columns: pd.Series) -> pd.Series:
-        words = np.stack([c.to_numpy(dtype=np.int64).view(np.uint64) for c in columns], axis=1)
-        return pd.Series(list(keys_of(words, exact)))
-
-    return keys
-
-
-def keys_of(words: np.ndarray, exact: int) -> list[np.ndarray]:
-    """Keys of fingerprints (n, WORDS64): table, exact bits, Golay index."""
-    bits = np.unpackbits(words.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-    weights = 1 << np.arange(32, dtype=np.int64)
-    step, out = BITS // TABLES, []
-    for t in range(TABLES):
-        own = np.roll(bits, -t * step, axis=1)
-        head = own[:, golay.LENGTH : golay.LENGTH + exact] @ weights[:exact]
-        index = golay.indices(own[:, : golay.LENGTH] @ weights[: golay.LENGTH])
-        out.append(np.where(index >= 0, (((t << 32) | head)[:, None] << 12) | index, -1))
-    return [row[row >= 0] for row in np.concatenate(out, axis=1)]
-
-
-def bits_apart(a: list[Column], b: list[Column]) -> Column:
-    total = F.lit(0)
-    for x, y in zip(a, b):
-        total = total + F.bit_count(x.bitwiseXOR(y))
-    return total
-
-
-def candidates(contents: DataFrame) -> DataFrame:
-    """Pairs (a, b) of contents (c and fingerprint) that share a key and are near."""
-    n = contents.count()
-    exact = max(6, min(24, int(np.ceil(np.log2(max(n, 2)))) - 7))
-    keyed = contents.select("c", *FPS, F.explode(table_keys(exact)(*FPS)).alias("key"))
-    sizes = cut(contents.select(F.explode(table_keys(exact)(*FPS)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = cut(keyed.join(sizes, "key"))
-    one = F.struct("c", *FPS)
-    few = shared.where(F.col("n") <= CAP).groupBy("key").agg(F.collect_list(one).alias("all"))
-    near = lambda x, y: bits_apart([x[f] for f in FPS], [y[f] for f in FPS]) <= MOST_BITS
-    pairs = few.select("all", F.explode("all").alias("x")).select(
-        F.col("x.c").alias("a"), F.explode(F.transform(F.filter("all", lambda y: (y["c"] > F.col("x.c")) & near(F.col("x"), y)), lambda y: y["c"])).alias("b")
-    )
-    return cut(pairs.unionByName(_dense(shared.where(F.col("n") > CAP))).distinct())
-
-
-def _dense(members: DataFrame) -> DataFrame:
-    """Pairs of the members of large keys with the key's centres."""
-    some = members.where(F.pmod(F.xxhash64("c", "key"), F.greatest(F.floor(F.col("n") / SAMPLE), F.lit(1))) == 0)
-    middle = some.groupBy("key").agg(F.collect_list(F.array(*FPS)).alias("all")).select("key", _majority_of(F.col("all")).alias("m"))
-    apart = bits_apart([F.col(f) for f in FPS], [F.get("m", F.lit(i)) for i in range(WORDS64)])
-    placed = members.join(middle, "key").withColumn("away", apart)
-    # the nearest of each residue class of ids: a few centres without ordering the members
-    centres = placed.withColumn("part", F.pmod(F.col("c"), F.lit(CENTRES))).groupBy("key", "part").agg(F.min(F.struct("away", "c", *FPS)).alias("x"))
-    star = members.join(centres.select("key", "x"), "key")
-    star = star.where((F.col("c") != F.col("x.c")) & (bits_apart([F.col(f) for f in FPS], [F.col(f"x.{f}") for f in FPS]) <= MOST_BITS))
-    return star.select(F.least("c", "x.c").alias("a"), F.greatest("c", "x.c").alias("b"))
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _majority_of(prints: pd.Series) -> pd.Series:
-    """Of arrays of fingerprints the bitwise majority."""
-    out = []
-    for rows in prints:
-        words = np.array([np.asarray(r, dtype=np.int64) for r in rows], dtype=np.int64).reshape(-1, WORDS64)
-        bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
-        out.append(np.packbits(bits.mean(axis=0) > 0.5, bitorder="little").view(np.int64).tolist())
-    return pd.Series(out)
+            parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)))
+    c = content.intdigest()
+    h = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
+    if len(h) < SHINGLE:
+        return c, np.array([c], dtype=np.uint64)
+    n = len(h) - SHINGLE + 1
+    x = h[:n].copy()
+    for i in range(1, SHINGLE):
+        x = (x ^ (x >> np.uint64(29))) * _MIX + h[i : i + n]
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return c, np.unique(x ^ (x >> np.uint64(29)))
+
+
+def least_common(n: int) -> int:
+    """Shingles that a text of ``n`` shingles has in common with a text as similar as ``LEAST``."""
+    return (4 * n + 4) // 5
+
+
+def frequent(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) that are frequent in a sample of the texts, by shingle; at most ``MOST_FREQUENT``."""
+    n = own.count()
+    unit = F.xxhash64(F.lit("similar"), "h1", "h2").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    some = own.where(unit * F.lit(n) < F.lit(float(SAMPLE))).select(F.col("text").cast("binary").alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py() or b"")[1].view(np.int64))], names=["s"])
+
+    counts = cut(some.mapInArrow(scan, "s bigint").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT))
+    least, total = FREQUENT, 0
+    for x in sorted(counts.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda x: -x["n"]):
+        total += x["m"]
+        if total > MOST_FREQUENT:
+            least = x["n"] + 1
+            break
+    got = counts.where(F.col("n") >= least).toArrow()
+    s, n = (got.column(i).to_numpy().astype(np.int64) for i in range(2))
+    s = s.view(np.uint64)
+    at = np.argsort(s)
+    return s[at], n[at]
+
+
+def keys_of(s: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in the order: those that a text as similar must have one of."""
+    rank = np.zeros(len(s), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        rank = np.where(known[at] == s, counts[at], 0)
+    return s[np.lexsort((s, rank))[: len(s) - least_common(len(s)) + 1]]
+
+
+def keyed_rows(own: DataFrame, fields: str) -> DataFrame:
+    """(id, h1, h2, c, n, keys) of rows (id, h1, h2, text)."""
+    known, counts = frequent(own)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [shingles(x.as_py() or b"") for x in batch.column(3)]
+            c = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
+            keys = [keys_of(g[1], known, counts).view(np.int64) for g in got]
+            columns = [pa.array(c), pa.array([len(g[1]) for g in got], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "h1", "h2", "c", "n", "keys"])
+
+    return own.withColumn("text", F.col("text").cast("binary")).mapInArrow(scan, fields)
+
+
+def _sized(a: Column, b: Column) -> Column:
+    """Whether the sizes of two sets allow for a similarity of ``LEAST``."""
+    return F.least(a, b) * 5 >= F.greatest(a, b) * 4
+
+
+def _pairs_of_few(few: DataFrame, dense: DataFrame) -> DataFrame:
+    """Pairs (a, b) of small keys (c, n, key, m) with enough keys in common; those of dense keys count as if they were common."""
+    blocks = few.groupBy("key").agg(F.collect_list(F.struct("c", "n")).alias("all"))
+    one = blocks.select("all", F.explode("all").alias("x"))
+    later = lambda y: (y["c"] > F.col("x.c")) & _sized(y["n"], F.col("x.n"))
+    pairs = one.select("x", F.explode(F.filter("all", later)).alias("y"))
+    pairs = pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    more = dense.groupBy("c").agg(F.count("*").alias("d"))
+    pairs = pairs.join(more.select(F.col("c").alias("a"), F.col("d").alias("da")), "a", "left").join(more.select(F.col("c").alias("b"), F.col("d").alias("db")), "b", "left")
+    most = F.col("k") + F.least(F.coalesce("da", F.lit(0)), F.coalesce("db", F.lit(0)))
+    common = F.ceil((F.col("na") + F.col("nb")) * 4 / 9 - 1e-6)
+    return pairs.where(most >= common + 1 - F.greatest(F.ceil(F.col("na") * 4 / 5 - 1e-6), F.ceil(F.col("nb") * 4 / 5 - 1e-6))).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (c, s) are as similar as ``LEAST``."""
+    a, b = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(a, "a").join(b, "b").where(both >= F.lit(LEAST) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
+def _placed(dense: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (c, n, key) of dense keys with their component, without the keys all of whose members are connected."""
+    roots = components(links)
+    placed = dense.join(roots, F.col("c") == F.col("vertex"), "left").select("c", "n", "key", F.coalesce("root", "c").alias("root"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    return cut(placed.join(open_keys, "key"))
+
+
+def _links_of_dense(dense: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """``links`` with further ones that connect all similar members of dense keys."""
+    for turn in range(ROUNDS):
+        placed = _placed(dense, links)
+        if placed.isEmpty():
+            return links
+        centres = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "c").alias("u"), "c", "n", "root")).alias("x"))
+        star = placed.join(centres, "key").where((F.col("root") != F.col("x.root")) & _sized(F.col("n"), F.col("x.n")))
+        star = cut(star.select(F.least("c", "x.c").alias("a"), F.greatest("c", "x.c").alias("b")).distinct())
+        links = cut(links.unionByName(verified(star, sets)))
+    placed = _placed(dense, links)
+    x, y = (placed.select("key", *[F.col(k).alias(f"{k}_{i}") for k in ("c", "n", "root")]) for i in (0, 1))
+    rest = x.join(y, "key").where((F.col("root_0") < F.col("root_1")) & _sized(F.col("n_0"), F.col("n_1")))
+    rest = cut(rest.select(F.least("c_0", "c_1").alias("a"), F.greatest("c_0", "c_1").alias("b")).distinct())
+    return cut(links.unionByName(verified(rest, sets)))
 
 
 def shingle_set(text: Column) -> Column:
@@ -152,19 +176,19 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     """Per row of ``docs``: (id, h1, h2, g1, g2); h1 and h2 tell rows apart, g1 and g2 are those of the group's first row."""
     own = docs.select(F.col(id_col).alias("id"), *[k.alias(n) for k, n in zip(row_key(F.col(id_col), F.col(text_col)), ("h1", "h2"))], F.col(text_col).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    fields = f"id {kind}, h1 bigint, h2 bigint, c bigint, " + ", ".join(f"{f} bigint" for f in FPS)
-    rows = cut(own.withColumn("text", F.col("text").cast("binary")).mapInArrow(_prints, fields))
+    rows = cut(keyed_rows(own, f"id {kind}, h1 bigint, h2 bigint, c bigint, n bigint, keys array<bigint>"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("first")
-    contents = cut(rows.groupBy("c", *FPS).agg(first))
-    pairs = candidates(contents)
-    involved = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    contents = cut(rows.groupBy("c").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys")))
+    keyed = contents.select("c", "n", F.explode("keys").alias("key"))
+    shared = cut(keyed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"))
+    dense = shared.where(F.col("m") > CAP)
+    pairs = cut(_pairs_of_few(shared.where(F.col("m") <= CAP), dense))
+    involved = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(dense.select("c")).distinct()
     wanted = cut(contents.join(involved, "c").select("c", F.col("first.h1").alias("w1"), F.col("first.h2").alias("w2")))
     few = wanted.count() <= BROADCAST_ROWS
     texts = own.join(F.broadcast(wanted) if few else wanted, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")))
     sets = cut(texts.select("c", shingle_set(F.col("text")).alias("s")).groupBy("c").agg(F.first("s").alias("s")))
-    a, b = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(a, "a").join(b, "b").where(both >= F.lit(LEAST) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    links = _links_of_dense(dense, cut(verified(pairs, sets)), sets)
     roots = components(links)
     linked = contents.join(roots, F.col("c") == F.col("vertex")).select("c", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("group_first"))

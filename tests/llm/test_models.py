@@ -224,6 +224,20 @@ def test_similar_groups(spark, monkeypatch, cap):
     assert similar.one_of_each(docs.where("false")).count() == 0
 
 
+def test_similar_chains(spark):
+    """Each text of a chain resembles only its neighbours, and many share their keys."""
+    r, rows = random.Random(11), []
+    for g in range(2):
+        words = prose(r, 200, 5000).split()
+        for k in range(15):
+            rows.append((100 * g + k, " ".join(words)))
+            for at in (5, 70, 135):
+                words[at + 4 * k] = f"new{g}x{k}x{at}"
+    assert similarity(rows[0][1], rows[1][1]) >= 0.8 > similarity(rows[0][1], rows[2][1])
+    kept = similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x["doc_id"] for x in kept.collect()) == [0, 100]
+
+
 def test_pipeline(spark, tmp_path, labelled):
     docs, marks, rows, truth = labelled
     docs.write.parquet(str(tmp_path / "documents.parquet"))
