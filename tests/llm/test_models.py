@@ -238,6 +238,17 @@ def test_similar_chains(spark):
     assert sorted(x["doc_id"] for x in kept.collect()) == [0, 100]
 
 
+def test_similar_shortened(spark):
+    """Copies without their tail, at a similarity of 0.8 to 0.83."""
+    r, rows = random.Random(12), []
+    for g in range(80):
+        words = prose(r, 200, 5000).split()
+        rows += [(g, " ".join(words)), (1000 + g, " ".join(words[: 162 + g % 5]))]
+    assert all(0.8 <= similarity(rows[i][1], rows[i + 1][1]) < 0.83 for i in range(0, 160, 2))
+    kept = similar.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x["doc_id"] for x in kept.collect()) == list(range(80))
+
+
 def test_pipeline(spark, tmp_path, labelled):
     docs, marks, rows, truth = labelled
     docs.write.parquet(str(tmp_path / "documents.parquet"))
