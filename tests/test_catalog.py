@@ -37,3 +37,11 @@ def test_query(spark, duck, name):
         assert sorted(names) == columns
         order = [names.index(c) for c in columns]
         assert rows == sorted((tuple(norm(x[i]) for i in order) for x in r.fetchall()), key=repr)
+
+
+def test_flagship_has_all_titles(spark, tmp_path):
+    rows = [(i, "en" if i % 2 else "de", f"Text {i} of words") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["lang"]: x["titles"].split(" / ") for x in catalog.flagship(spark, str(tmp_path)).collect()}
+    assert {k: len(v) for k, v in got.items()} == {"en": 15, "de": 15}
+    assert got["en"][-1].startswith("Text 29")
