@@ -200,7 +200,13 @@ def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the contaminated ones."""
-    bad = cut(find(docs, items, id_col=id_col, text_col=text_col, **options).where(is_contaminated()).select(F.col("__h1").alias("__b1"), F.col("__h2").alias("__b2")))
+    """``docs`` without those that hold benchmark text: none that stays has a whole window of an item.
+
+    A window of ``window`` words is reason enough, however long the document.  Items of fewer
+    words may be common phrases, so these count only if hits are a twentieth of the words.
+    """
+    found = find(docs, items, id_col=id_col, text_col=text_col, **options)
+    passage = F.coalesce(F.exists("starts", lambda s: s["len"] == options.get("window", WINDOW)), F.lit(False))
+    bad = cut(found.where(passage | is_contaminated()).select(F.col("__h1").alias("__b1"), F.col("__h2").alias("__b2")))
     h1, h2 = row_key(docs[id_col], docs[text_col])
     return docs.join(_small(bad, bad.count()), (h1 == F.col("__b1")) & (h2 == F.col("__b2")), "left_anti")
