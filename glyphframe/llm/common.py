@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the checkpoint folder for the time of one call."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base = spark, f"{checkpoint_dir(spark)}/glyphframe-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as a table, which is smaller than a checkpoint of rows, and read again."""
+        df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
+        return self.spark.read.parquet(f"{self.base}/{name}")
+
+    def discard(self, name: str) -> None:
+        """Delete a table that nothing reads any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; none for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -22,7 +22,7 @@ come.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,11 +81,11 @@ def shingle_hashes(data: bytes, k: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(tail), SEED)], dtype=np.uint64)
 
 
-def fingerprint(data: bytes | None, k: int) -> int:
-    """Bit ``i`` is 1 if it is set in over half of the shingle hashes."""
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bit ``i`` is 1 if it is set in over half of all hashes."""
     votes, n = np.zeros((8, 8), dtype=np.int64), 0
     lane = np.arange(8, dtype=np.int64) << 8
-    for hashes in shingle_hashes(data or b"", k):
+    for hashes in parts:
         by_byte = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + lane).ravel(), minlength=2048)
         votes += by_byte.reshape(8, 256) @ _BYTE_BITS
         n += len(hashes)
@@ -93,6 +93,11 @@ def fingerprint(data: bytes | None, k: int) -> int:
     return int((bits << np.arange(64, dtype=np.uint64)).sum())
 
 
+def fingerprint(data: bytes | None, k: int) -> int:
+    """The fingerprint of a text's shingles of ``k`` words, repeats included."""
+    return majority(shingle_hashes(data or b"", k))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """(id, fp): the fingerprint of every whole text, as a signed long."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))

@@ -1,20 +1,27 @@
-"""Groups of texts whose five-word shingles are at least 80 % the same; the search is exact.
-
-All distinct shingles of a text are put in one order: those that are frequent in a sample last, by their count,
-the others by their hash.  Of a text with ``n`` shingles the first ``n - ceil(0.8 n) + 1`` are its keys; two texts with a
-similarity of ``LEAST`` have at least one key in common, in whatever order.  The sample decides about speed only.
-
-Equal texts are one entry from the start.  Keys of up to ``CAP`` texts give all their pairs, and the number of keys that a pair
-has in common tells most of the unlike ones: with ``o = ceil(4 (na + nb) / 9)`` shingles in common at the least, the text whose
-last key comes first may have only so many keys that the other text does not have.
-
-Keys with more texts are dense.  There, texts are first compared with a centre that is drawn anew in each of up to ``ROUNDS`` rounds,
-which joins the members of a cluster without making its pairs; texts that links have connected need no further comparison.
-Then all pairs of a dense key that are not connected yet are compared, so that no pair is left out.
-
-Edge cases: null and empty texts have no words and are one group, like any equal texts.  Rows of
-equal id and text are equal rows; one of them stays.  Texts of under five words are one shingle.
-An empty table gives an empty result.
+"""Groups of texts whose five-word shingles are at least 80 % the same; no link is lost.
+
+Links are found in three steps, and every candidate is verified on the whole shingle sets:
+
+1. SimHash: fingerprints of the shingles within two bits, found by Golay-code keys (``simhash.links``).  That connects
+   close copies, however many there are, with one comparison a text or so.
+2. What two bits cannot tell, a prefix filter finds, exactly: all distinct shingles of a text are put in one order, rare ones
+   first.  Of a text with ``n`` shingles the first ``n - ceil(0.8 n) + 1`` are its keys; two texts with a similarity of
+   ``LEAST`` have a key in common.  Keys of up to ``CAP`` texts give their pairs.  Two bounds tell most of the unlike ones:
+   with ``o = ceil(4 (na + nb) / 9)`` shingles in common at the least, the first common key must have ``o`` shingles left from it
+   on in both, and the text whose last key comes first may have only so many keys that the other one does not have.
+3. Keys with more texts are dense.  Their members are compared with a centre that is drawn anew in each of ``ROUNDS`` rounds,
+   which joins a cluster without making its pairs; then all pairs of a dense key that are not connected yet and within the
+   first bound are compared, so that no pair is left out.
+
+Pairs that links have connected already are never made or compared.  In the rounds a text is compared with one
+candidate at a time, so a cluster costs about one comparison a member.
+
+The order comes from counts of all shingles of all texts in 2^20 buckets by hash (4 MB at any size of the corpus).  It decides
+about speed only: any order finds all pairs.
+
+Equal texts are one entry from the start.  Edge cases: null and empty texts have no words and are one group, like any equal
+texts.  Rows of equal id and text are equal rows; one of them stays.  Texts of under five words are one shingle.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,18 +31,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphframe.llm.common import cut, let, lower_ascii
+
+from glyphframe.llm.common import Scratch, cut
 from glyphframe.llm.decontaminate import row_key
 from glyphframe.llm.graph import components
-from glyphframe.llm.simhash import pieces
+from glyphframe.llm.simhash import links as near_prints
+from glyphframe.llm.simhash import majority, pieces
 
 SHINGLE, LEAST = 5, 0.8
-CAP, ROUNDS = 16, 4
-#: Texts in the sample for the order of shingles, its least count of a frequent shingle, and the most of these.
-SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 3, 200_000
+CAP, ROUNDS = 64, 4
+BUCKET_BITS, CHUNK_BITS, SPREAD = 20, 12, 64
 BROADCAST_ROWS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,53 +72,76 @@ def least_common(n: int) -> int:
     return (4 * n + 4) // 5
 
 
-def frequent(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts) that are frequent in a sample of the texts, by shingle; at most ``MOST_FREQUENT``."""
-    n = own.count()
-    unit = F.xxhash64(F.lit("similar"), "h1", "h2").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    some = own.where(unit * F.lit(n) < F.lit(float(SAMPLE))).select(F.col("text").cast("binary").alias("text"))
+def bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def keys_of(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of (rank of the bucket, hash): those that a text as similar must have one of."""
+    return s[np.lexsort((s, rank[bucket(s)]))[: len(s) - least_common(len(s)) + 1]]
+
+
+def scanned(own: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """(rows (id, h1, h2, c, n, fp), rank by bucket) of rows (id, h1, h2, text), in one scan.
+
+    Each task counts its shingles by bucket; the counts are rows of the same table, in chunks, and are added up in two levels.
+    """
+    kind = own.schema["id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, names = np.zeros(1 << BUCKET_BITS, dtype=np.int64), ["id", "h1", "h2", "c", "n", "fp", "chunk", "part", "counts"]
+        mark, id_type = 0, None
         for batch in batches:
-            for x in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py() or b"")[1].view(np.int64))], names=["s"])
-
-    counts = cut(some.mapInArrow(scan, "s bigint").groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT))
-    least, total = FREQUENT, 0
-    for x in sorted(counts.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda x: -x["n"]):
-        total += x["m"]
-        if total > MOST_FREQUENT:
-            least = x["n"] + 1
-            break
-    got = counts.where(F.col("n") >= least).toArrow()
-    s, n = (got.column(i).to_numpy().astype(np.int64) for i in range(2))
-    s = s.view(np.uint64)
-    at = np.argsort(s)
-    return s[at], n[at]
-
-
-def keys_of(s: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles in the order: those that a text as similar must have one of."""
-    rank = np.zeros(len(s), dtype=np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-        rank = np.where(known[at] == s, counts[at], 0)
-    return s[np.lexsort((s, rank))[: len(s) - least_common(len(s)) + 1]]
-
-
-def keyed_rows(own: DataFrame, fields: str) -> DataFrame:
-    """(id, h1, h2, c, n, keys) of rows (id, h1, h2, text)."""
-    known, counts = frequent(own)
+            got = [shingles(x.as_py() or b"") for x in batch.column(3)]
+            if not got:
+                continue
+            id_type = batch.schema.field(0).type
+            c = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
+            fp = np.array([majority([g[1]]) for g in got], dtype=np.uint64).view(np.int64)
+            counts += np.bincount(np.concatenate([bucket(g[1]) for g in got]), minlength=len(counts))
+            mark ^= int(c[0])
+            columns = [pa.array(c), pa.array([len(g[1]) for g in got], pa.int64()), pa.array(fp)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, *(pa.nulls(len(c), t) for t in (pa.int32(), pa.int32(), pa.binary()))], names=names)
+        chunks = counts.reshape(-1, 1 << CHUNK_BITS)
+        used = np.flatnonzero(chunks.any(axis=1))
+        if len(used):
+            none = [pa.nulls(len(used), t) for t in (id_type, *[pa.int64()] * 5)]
+            parts = pa.array(np.full(len(used), mark % SPREAD, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*none, pa.array(used.astype(np.int32)), parts, pa.array([chunks[i].tobytes() for i in used], pa.binary())], names=names)
+
+    def total(table: pa.Table) -> pa.Table:
+        added = sum(np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("counts"))
+        return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([added.tobytes()], pa.binary())})
+
+    everything = scratch.stored(own.mapInArrow(scan, f"id {kind}, h1 bigint, h2 bigint, c bigint, n bigint, fp bigint, chunk int, part int, counts binary"), "scanned")
+    added = everything.where("chunk is not null").select("chunk", "part", "counts")
+    for by in (["chunk", "part"], ["chunk"]):
+        added = added.groupBy(*by).applyInArrow(total, "chunk int, counts binary")
+    counts = np.zeros((1 << (BUCKET_BITS - CHUNK_BITS), 1 << CHUNK_BITS), dtype=np.int64)
+    for x in added.collect():
+        counts[x["chunk"]] = np.frombuffer(x["counts"], dtype=np.int64)
+    return everything.where("chunk is null").select("id", "h1", "h2", "c", "n", "fp"), ranks(counts.ravel())
+
+
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """0 for buckets that may hold only rare shingles, else one more than the logarithm of what exceeds the usual count."""
+    usual = np.median(counts)
+    excess = np.maximum(counts - usual - 4 * np.sqrt(usual + 1), 0)
+    return np.ceil(np.log2(excess + 1)).astype(np.uint8)
+
+
+def keyed(own: DataFrame, rank: np.ndarray) -> DataFrame:
+    """(c, n, keys) of the distinct texts of rows (id, h1, h2, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shingles(x.as_py() or b"") for x in batch.column(3)]
+            got = [shingles(x.as_py() or b"") for x in batch.column(0)]
             c = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
-            keys = [keys_of(g[1], known, counts).view(np.int64) for g in got]
-            columns = [pa.array(c), pa.array([len(g[1]) for g in got], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "h1", "h2", "c", "n", "keys"])
+            keys = [keys_of(g[1], rank).view(np.int64) for g in got]
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array([len(g[1]) for g in got], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["c", "n", "keys"])
 
-    return own.withColumn("text", F.col("text").cast("binary")).mapInArrow(scan, fields)
+    rows = own.select(F.col("text").cast("binary").alias("text")).mapInArrow(scan, "c bigint, n bigint, keys array<bigint>")
+    return rows.groupBy("c").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
 def _sized(a: Column, b: Column) -> Column:
@@ -118,78 +149,143 @@ def _sized(a: Column, b: Column) -> Column:
     return F.least(a, b) * 5 >= F.greatest(a, b) * 4
 
 
+def _common(na: Column, nb: Column) -> Column:
+    """Least number of shingles in common."""
+    return F.ceil((na + nb) * 4 / 9 - 1e-6)
+
+
+def _room(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
+    """Whether enough shingles are left from a common key on for it to be the first one."""
+    return F.least(na - pa_, nb - pb) >= _common(na, nb)
+
+
 def _pairs_of_few(few: DataFrame, dense: DataFrame) -> DataFrame:
-    """Pairs (a, b) of small keys (c, n, key, m) with enough keys in common; those of dense keys count as if they were common."""
-    blocks = few.groupBy("key").agg(F.collect_list(F.struct("c", "n")).alias("all"))
+    """Pairs (a, b) of small keys (c, n, pos, key, root) within both bounds; dense keys count as if they were common."""
+    blocks = few.groupBy("key").agg(F.collect_list(F.struct("c", "n", "pos", "root")).alias("all"))
     one = blocks.select("all", F.explode("all").alias("x"))
-    later = lambda y: (y["c"] > F.col("x.c")) & _sized(y["n"], F.col("x.n"))
+    later = lambda y: (y["c"] > F.col("x.c")) & (y["root"] != F.col("x.root")) & _sized(y["n"], F.col("x.n"))
     pairs = one.select("x", F.explode(F.filter("all", later)).alias("y"))
-    pairs = pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    room = _room(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
+    pairs = pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), room.alias("room"))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("room").alias("room")).where("room")
     more = dense.groupBy("c").agg(F.count("*").alias("d"))
     pairs = pairs.join(more.select(F.col("c").alias("a"), F.col("d").alias("da")), "a", "left").join(more.select(F.col("c").alias("b"), F.col("d").alias("db")), "b", "left")
     most = F.col("k") + F.least(F.coalesce("da", F.lit(0)), F.coalesce("db", F.lit(0)))
-    common = F.ceil((F.col("na") + F.col("nb")) * 4 / 9 - 1e-6)
-    return pairs.where(most >= common + 1 - F.greatest(F.ceil(F.col("na") * 4 / 5 - 1e-6), F.ceil(F.col("nb") * 4 / 5 - 1e-6))).select("a", "b")
+    enough = _common(F.col("na"), F.col("nb")) + 1 - F.greatest(F.ceil(F.col("na") * 4 / 5 - 1e-6), F.ceil(F.col("nb") * 4 / 5 - 1e-6))
+    return pairs.where(most >= enough).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets (c, s) are as similar as ``LEAST``."""
-    a, b = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").where(both >= F.lit(LEAST) * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+class Sets:
+    """Shingle sets of distinct texts, made from the texts for the pairs that are compared."""
 
+    def __init__(self, own: DataFrame, contents: DataFrame):
+        self.own, self.contents = own, contents
 
-def _placed(dense: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (c, n, key) of dense keys with their component, without the keys all of whose members are connected."""
-    roots = components(links)
-    placed = dense.join(roots, F.col("c") == F.col("vertex"), "left").select("c", "n", "key", F.coalesce("root", "c").alias("root"))
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(c, s) of all texts in ``pairs``; a text goes through Python where it is."""
+        members = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+        wanted = cut(self.contents.join(members, "c").select("c", F.col("first.h1").alias("w1"), F.col("first.h2").alias("w2")))
+        few = wanted.count() <= BROADCAST_ROWS
+        texts = self.own.join(F.broadcast(wanted) if few else wanted, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [shingles(x.as_py() or b"")[1].view(np.int64) for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["c", "s"])
+
+        return texts.select("c", F.col("text").cast("binary").alias("text")).mapInArrow(scan, "c bigint, s array<bigint>")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the written ``pairs`` (a, b) whose sets are as similar as ``LEAST``."""
+        sets = self.of(pairs).groupBy("c").agg(F.first("s").alias("s"))  # equal rows give a set each
+        a, b = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        return cut(pairs.join(a, "a").join(b, "b").where(both * 9 >= (F.size("sa") + F.size("sb")) * 4).select("a", "b"))
+
+
+def _printed(contents: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts whose fingerprints are equal or within two bits: each text with one of its fingerprint, these with each other."""
+    prints = cut(contents.groupBy("fp").agg(F.min("c").alias("rep")))
+    equal = contents.join(prints, "fp").where("c <> rep").select(F.col("rep").alias("a"), F.col("c").alias("b"))
+    near = near_prints(prints.select("fp"))
+    near = near.join(prints.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(prints.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    return cut(equal.unionByName(near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))).distinct())
+
+
+def _rooted(rows: DataFrame, vertex: str, roots: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the component of a vertex."""
+    own = roots.select(F.col("vertex").alias("__v"), F.col("root").alias("__r"))
+    return rows.join(own, F.col(vertex) == F.col("__v"), "left").withColumn(name, F.coalesce("__r", vertex)).drop("__v", "__r")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs that are not connected."""
+    return _rooted(_rooted(pairs, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("a", "b")
+
+
+def _placed(dense: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (c, n, pos, key, root) of dense keys, without the keys all of whose members are connected."""
+    placed = _rooted(dense.drop("root"), "c", roots, "root")
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     return cut(placed.join(open_keys, "key"))
 
 
-def _links_of_dense(dense: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """``links`` with further ones that connect all similar members of dense keys."""
-    for turn in range(ROUNDS):
-        placed = _placed(dense, links)
-        if placed.isEmpty():
-            return links
-        centres = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "c").alias("u"), "c", "n", "root")).alias("x"))
-        star = placed.join(centres, "key").where((F.col("root") != F.col("x.root")) & _sized(F.col("n"), F.col("x.n")))
-        star = cut(star.select(F.least("c", "x.c").alias("a"), F.greatest("c", "x.c").alias("b")).distinct())
-        links = cut(links.unionByName(verified(star, sets)))
-    placed = _placed(dense, links)
-    x, y = (placed.select("key", *[F.col(k).alias(f"{k}_{i}") for k in ("c", "n", "root")]) for i in (0, 1))
-    rest = x.join(y, "key").where((F.col("root_0") < F.col("root_1")) & _sized(F.col("n_0"), F.col("n_1")))
-    rest = cut(rest.select(F.least("c_0", "c_1").alias("a"), F.greatest("c_0", "c_1").alias("b")).distinct())
-    return cut(links.unionByName(verified(rest, sets)))
+def _star(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of the members of a dense key with a centre."""
+    centres = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "c").alias("u"), "c", "n", "pos", "root")).alias("x"))
+    far = (F.col("root") != F.col("x.root")) & _sized(F.col("n"), F.col("x.n")) & _room(F.col("n"), F.col("pos"), F.col("x.n"), F.col("x.pos"))
+    return placed.join(centres, "key").where(far).select(F.least("c", "x.c").alias("a"), F.greatest("c", "x.c").alias("b"))
 
 
-def shingle_set(text: Column) -> Column:
-    """Distinct hashes of a text's shingles of ``SHINGLE`` words."""
-    words = F.coalesce(F.array_remove(F.split(lower_ascii(text), r"[\x20\x09-\x0D]+"), ""), F.array().cast("array<string>"))
-    several = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)]))
-    return let(words, lambda w: F.array_distinct(F.when(F.size(w) >= SHINGLE, several(w)).otherwise(F.array(F.xxhash64(w)))))
+def _all_pairs(placed: DataFrame) -> DataFrame:
+    """All pairs of dense keys that are not connected and within the first bound."""
+    x, y = (placed.select("key", *[F.col(k).alias(f"{k}_{i}") for k in ("c", "n", "pos", "root")]) for i in (0, 1))
+    far = (F.col("root_0") < F.col("root_1")) & _sized(F.col("n_0"), F.col("n_1")) & _room(F.col("n_0"), F.col("pos_0"), F.col("n_1"), F.col("pos_1"))
+    return x.join(y, "key").where(far).select(F.least("c_0", "c_1").alias("a"), F.greatest("c_0", "c_1").alias("b"))
+
+
+def all_links(own: DataFrame, contents: DataFrame, rank: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of contents as similar as ``LEAST`` that connect all such pairs."""
+    sets = Sets(own, contents)
+    links = sets.verified(_printed(contents))
+    keys = scratch.stored(keyed(own, rank), "keyed").select("c", "n", F.posexplode("keys").alias("pos", "key"))
+    counts = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = scratch.stored(keys.join(counts, "key"), "shared")
+    roots = components(links)
+    rooted = _rooted(shared, "c", roots, "root")
+    dense = rooted.where(F.col("m") > CAP)
+    pairs = cut(_pairs_of_few(rooted.where(F.col("m") <= CAP), dense))
+    dense = cut(dense.select("c", "n", "pos", "key"))
+    scratch.discard("keyed")
+    scratch.discard("shared")
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        placed = _placed(dense, roots)
+        if not last:  # one partner for each text: the first, then the last, in turn
+            one = F.min("a") if turn % 2 == 0 else F.max("a")
+            drawn = pairs.groupBy("b").agg(one.alias("a")).select("a", "b")
+            tries = cut(drawn.unionByName(_star(placed, turn)).distinct())
+        else:
+            tries = cut(pairs.unionByName(_all_pairs(placed)).distinct())
+        if tries.isEmpty():
+            return links
+        found = sets.verified(tries)
+        links = links.unionByName(found)
+        if last:
+            return links
+        roots = components(links)
+        pairs = cut(_apart(pairs.join(tries, ["a", "b"], "left_anti"), roots))
+    return links
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: (id, h1, h2, g1, g2); h1 and h2 tell rows apart, g1 and g2 are those of the group's first row."""
-    own = docs.select(F.col(id_col).alias("id"), *[k.alias(n) for k, n in zip(row_key(F.col(id_col), F.col(text_col)), ("h1", "h2"))], F.col(text_col).alias("text"))
-    kind = own.schema["id"].dataType.simpleString()
-    rows = cut(keyed_rows(own, f"id {kind}, h1 bigint, h2 bigint, c bigint, n bigint, keys array<bigint>"))
+    own = docs.select(F.col(id_col).alias("id"), *[k.alias(n) for k, n in zip(row_key(F.col(id_col), F.col(text_col)), ("h1", "h2"))], F.col(text_col).cast("binary").alias("text"))
+    scratch = Scratch(docs.sparkSession)
+    rows, rank = scanned(own, scratch)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("first")
-    contents = cut(rows.groupBy("c").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys")))
-    keyed = contents.select("c", "n", F.explode("keys").alias("key"))
-    shared = cut(keyed.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1"))
-    dense = shared.where(F.col("m") > CAP)
-    pairs = cut(_pairs_of_few(shared.where(F.col("m") <= CAP), dense))
-    involved = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(dense.select("c")).distinct()
-    wanted = cut(contents.join(involved, "c").select("c", F.col("first.h1").alias("w1"), F.col("first.h2").alias("w2")))
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = own.join(F.broadcast(wanted) if few else wanted, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")))
-    sets = cut(texts.select("c", shingle_set(F.col("text")).alias("s")).groupBy("c").agg(F.first("s").alias("s")))
-    links = _links_of_dense(dense, cut(verified(pairs, sets)), sets)
-    roots = components(links)
+    contents = cut(rows.groupBy("c").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp")))
+    roots = components(all_links(own, contents, rank, scratch))
     linked = contents.join(roots, F.col("c") == F.col("vertex")).select("c", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("group_first"))
     known = contents.select("c", "first").join(linked.join(least, "root").select(F.col("c").alias("lc"), "group_first"), F.col("c") == F.col("lc"), "left")
