@@ -9,9 +9,10 @@ Links are found in three steps, and every candidate is verified on the whole shi
    ``LEAST`` have a key in common.  Keys of up to ``CAP`` texts give their pairs.  Two bounds tell most of the unlike ones:
    with ``o = ceil(4 (na + nb) / 9)`` shingles in common at the least, the first common key must have ``o`` shingles left from it
    on in both, and the text whose last key comes first may have only so many keys that the other one does not have.
-3. Keys with more texts are dense.  Their members are compared with a centre that is drawn anew in each of ``ROUNDS`` rounds,
-   which joins a cluster without making its pairs; then all pairs of a dense key that are not connected yet and within the
-   first bound are compared, so that no pair is left out.
+3. Keys with more texts are dense.  Their members are compared with a centre, another one in each of ``ROUNDS`` rounds, which
+   joins a cluster without making its pairs: first the member with the most dense keys (edits make shingles that are
+   rare, so that is the least edited one), then any.  Then all pairs of a dense key that are not connected yet and within
+   the first bound are compared, so that no pair is left out.
 
 Pairs that links have connected already are never made or compared.  In the rounds a text is compared with one
 candidate at a time, so a cluster costs about one comparison a member.
@@ -42,7 +43,7 @@ from glyphframe.llm.simhash import links as near_prints
 from glyphframe.llm.simhash import majority, pieces
 
 SHINGLE, LEAST = 5, 0.8
-CAP, ROUNDS = 64, 4
+CAP, ROUNDS = 64, 2
 BUCKET_BITS, CHUNK_BITS, SPREAD = 20, 12, 64
 BROADCAST_ROWS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -224,7 +225,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _placed(dense: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (c, n, pos, key, root) of dense keys, without the keys all of whose members are connected."""
+    """Members (c, n, pos, d, key, root) of dense keys, without the keys all of whose members are connected."""
     placed = _rooted(dense.drop("root"), "c", roots, "root")
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     return cut(placed.join(open_keys, "key"))
@@ -232,7 +233,8 @@ def _placed(dense: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _star(placed: DataFrame, turn: int) -> DataFrame:
     """Pairs of the members of a dense key with a centre."""
-    centres = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "c").alias("u"), "c", "n", "pos", "root")).alias("x"))
+    order = -F.col("d") if turn == 0 else F.xxhash64(F.lit(turn), "c")
+    centres = placed.groupBy("key").agg(F.min(F.struct(order.alias("u"), "c", "n", "pos", "root")).alias("x"))
     far = (F.col("root") != F.col("x.root")) & _sized(F.col("n"), F.col("x.n")) & _room(F.col("n"), F.col("pos"), F.col("x.n"), F.col("x.pos"))
     return placed.join(centres, "key").where(far).select(F.least("c", "x.c").alias("a"), F.greatest("c", "x.c").alias("b"))
 
@@ -255,9 +257,9 @@ def all_links(own: DataFrame, contents: DataFrame, rank: np.ndarray, scratch: Sc
     rooted = _rooted(shared, "c", roots, "root")
     dense = rooted.where(F.col("m") > CAP)
     pairs = cut(_pairs_of_few(rooted.where(F.col("m") <= CAP), dense))
-    dense = cut(dense.select("c", "n", "pos", "key"))
-    scratch.discard("keyed")
-    scratch.discard("shared")
+    number = dense.groupBy(F.col("c").alias("dc")).agg(F.count("*").alias("d"))
+    dense = cut(dense.join(number, F.col("c") == F.col("dc")).select("c", "n", "pos", "d", "key"))
+    scratch.discard("keyed", "shared")
     for turn in range(ROUNDS + 1):
         last = turn == ROUNDS
         placed = _placed(dense, roots)
