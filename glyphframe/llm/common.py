@@ -14,38 +14,61 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(found)
-        return found
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Where it is unset, local sessions get a folder of their own; on a cluster that is an error, since executors could not
+    read what lies on the driver's disk.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="glyphframe-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphframe-checkpoint-"))
-    return spark.sparkContext.getCheckpointDir()
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables; it is deleted when the application ends."""
+    base = f"{checkpoint_dir(spark)}/glyphframe-{spark.sparkContext.applicationId}"
+    files, where = _hadoop(spark, base)
+    if not files.exists(where):
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+    return base
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return it without lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a written table, without lineage.
+
+    Unlike a checkpoint, which computes its last stage twice, this computes it once, and columns are compressed.
+    """
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
-    """Tables in the checkpoint folder for the time of one call."""
+    """Tables that are deleted as soon as nothing reads them any more."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base = spark, f"{checkpoint_dir(spark)}/glyphframe-{uuid.uuid4().hex}"
+        self.spark, self.base = spark, f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written as a table, which is smaller than a checkpoint of rows, and read again."""
+        """``df`` written as a table and read again."""
         df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
-        return self.spark.read.parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
-    def discard(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def discard(self, *names: str) -> None:
+        for name in names:
+            files, where = _hadoop(self.spark, f"{self.base}/{name}")
+            files.delete(where, True)
 
 
 def text_bytes(text: Column) -> Column:

@@ -28,19 +28,16 @@ id is smaller than all others.  Ids are integers.  An empty table gives an empty
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphframe.llm.common import checkpoint_dir
+from glyphframe.llm.common import Scratch
 
 LENGTH, K = 100, 16
 GRAMS = LENGTH - K + 1
@@ -186,29 +183,6 @@ def _lists(column: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]
     return column.offsets.to_numpy().astype(np.int64), [values.field(values.type.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
 
 
-class Scratch:
-    """Tables in the checkpoint folder for the time of one call."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.base = spark, f"{checkpoint_dir(spark)}/glyphframe-{uuid.uuid4().hex}"
-
-    def stored(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written as a table, which is smaller than a checkpoint of rows, and read again."""
-        df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
-        del df
-        # What was shuffled for it is deleted once neither Python nor the JVM refers to it; plans are held
-        # until their last events are handled, so a second collection follows.
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.7)
-        return self.spark.read.parquet(f"{self.base}/{name}")
-
-    def discard(self, name: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _scan_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     values = byte_values()
     for batch in batches:
