@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-from glyphframe.llm.common import Scratch, cut
+from glyphframe.llm.common import Scratch, cut, sliced
 from glyphframe.llm.decontaminate import row_key
 from glyphframe.llm.graph import components
 from glyphframe.llm.simhash import links as near_prints
@@ -92,14 +92,14 @@ def scanned(own: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, names = np.zeros(1 << BUCKET_BITS, dtype=np.int64), ["id", "h1", "h2", "c", "n", "fp", "chunk", "part", "counts"]
         mark, id_type = 0, None
-        for batch in batches:
+        for batch in sliced(batches):
             got = [shingles(x.as_py() or b"") for x in batch.column(3)]
             if not got:
                 continue
             id_type = batch.schema.field(0).type
             c = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
             fp = np.array([majority([g[1]]) for g in got], dtype=np.uint64).view(np.int64)
-            counts += np.bincount(np.concatenate([bucket(g[1]) for g in got]), minlength=len(counts))
+            np.add.at(counts, np.concatenate([bucket(g[1]) for g in got]), 1)
             mark ^= int(c[0])
             columns = [pa.array(c), pa.array([len(g[1]) for g in got], pa.int64()), pa.array(fp)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, *(pa.nulls(len(c), t) for t in (pa.int32(), pa.int32(), pa.binary()))], names=names)
@@ -135,7 +135,7 @@ def keyed(own: DataFrame, rank: np.ndarray) -> DataFrame:
     """(c, n, keys) of the distinct texts of rows (id, h1, h2, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = [shingles(x.as_py() or b"") for x in batch.column(0)]
             c = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
             keys = [keys_of(g[1], rank).view(np.int64) for g in got]
@@ -190,7 +190,7 @@ class Sets:
         texts = self.own.join(F.broadcast(wanted) if few else wanted, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 sets = [shingles(x.as_py() or b"")[1].view(np.int64) for x in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["c", "s"])
 
