@@ -10,8 +10,8 @@ Links are found in three steps, and every candidate is verified on the whole shi
    with ``o = ceil(4 (na + nb) / 9)`` shingles in common at the least, the first common key must have ``o`` shingles left from it
    on in both, and the text whose last key comes first may have only so many keys that the other one does not have.
 3. Keys with more texts are dense.  Their members are compared with a centre, another one in each of ``ROUNDS`` rounds, which
-   joins a cluster without making its pairs: first the member with the most dense keys (edits make shingles that are
-   rare, so that is the least edited one), then any.  Then all pairs of a dense key that are not connected yet and within
+   joins a cluster without making its pairs: first the member that has the fewest shingles before the key (edits make
+   shingles that are rare, so that is the least edited one), then any.  Then all pairs of a dense key that are not connected yet and within
    the first bound are compared, so that no pair is left out.
 
 Pairs that links have connected already are never made or compared.  In the rounds a text is compared with one
@@ -161,19 +161,31 @@ def _room(na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
 
 
 def _pairs_of_few(few: DataFrame, dense: DataFrame) -> DataFrame:
-    """Pairs (a, b) of small keys (c, n, pos, key, root) within both bounds; dense keys count as if they were common."""
+    """Pairs (a, b) of small keys (c, n, pos, key, root) within both bounds; dense keys count as if they were common.
+
+    ``ra`` and ``rb`` tell how much of a and b stands before their first common key.
+    """
     blocks = few.groupBy("key").agg(F.collect_list(F.struct("c", "n", "pos", "root")).alias("all"))
     one = blocks.select("all", F.explode("all").alias("x"))
     later = lambda y: (y["c"] > F.col("x.c")) & (y["root"] != F.col("x.root")) & _sized(y["n"], F.col("x.n"))
     pairs = one.select("x", F.explode(F.filter("all", later)).alias("y"))
     room = _room(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"))
-    pairs = pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), room.alias("room"))
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("room").alias("room")).where("room")
+    pairs = pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), room.alias("room"), F.col("x.pos").alias("pa"), F.col("y.pos").alias("pb"))
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("room").alias("room"), *[(F.min(f"p{x}") / F.col(f"n{x}")).alias(f"r{x}") for x in "ab"]).where("room")
     more = dense.groupBy("c").agg(F.count("*").alias("d"))
     pairs = pairs.join(more.select(F.col("c").alias("a"), F.col("d").alias("da")), "a", "left").join(more.select(F.col("c").alias("b"), F.col("d").alias("db")), "b", "left")
     most = F.col("k") + F.least(F.coalesce("da", F.lit(0)), F.coalesce("db", F.lit(0)))
     enough = _common(F.col("na"), F.col("nb")) + 1 - F.greatest(F.ceil(F.col("na") * 4 / 5 - 1e-6), F.ceil(F.col("nb") * 4 / 5 - 1e-6))
-    return pairs.where(most >= enough).select("a", "b")
+    return pairs.where(most >= enough).select("a", "b", "ra", "rb")
+
+
+def _drawn(pairs: DataFrame, turn: int) -> DataFrame:
+    """One pair for each text that has a less edited partner: that with the least edited (then the most edited) of these."""
+    a, b = F.struct(F.col("ra").alias("r"), F.col("a").alias("c")), F.struct(F.col("rb").alias("r"), F.col("b").alias("c"))
+    first = (F.col("ra") < F.col("rb")) | ((F.col("ra") == F.col("rb")) & (F.col("a") < F.col("b")))
+    sides = pairs.select(F.when(first, a).otherwise(b).alias("low"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("c"))
+    one = sides.groupBy("c").agg((F.max("low") if turn % 2 else F.min("low")).getField("c").alias("x"))
+    return one.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b"))
 
 
 class Sets:
@@ -221,11 +233,11 @@ def _rooted(rows: DataFrame, vertex: str, roots: DataFrame, name: str) -> DataFr
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs that are not connected."""
-    return _rooted(_rooted(pairs, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb").select("a", "b")
+    return _rooted(_rooted(pairs, "a", roots, "root_a"), "b", roots, "root_b").where("root_a <> root_b").select(*pairs.columns)
 
 
 def _placed(dense: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (c, n, pos, d, key, root) of dense keys, without the keys all of whose members are connected."""
+    """Members (c, n, pos, key, root) of dense keys, without the keys all of whose members are connected."""
     placed = _rooted(dense.drop("root"), "c", roots, "root")
     open_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
     return cut(placed.join(open_keys, "key"))
@@ -233,7 +245,7 @@ def _placed(dense: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _star(placed: DataFrame, turn: int) -> DataFrame:
     """Pairs of the members of a dense key with a centre."""
-    order = -F.col("d") if turn == 0 else F.xxhash64(F.lit(turn), "c")
+    order = F.col("pos") / F.col("n") if turn == 0 else F.xxhash64(F.lit(turn), "c").cast("double")
     centres = placed.groupBy("key").agg(F.min(F.struct(order.alias("u"), "c", "n", "pos", "root")).alias("x"))
     far = (F.col("root") != F.col("x.root")) & _sized(F.col("n"), F.col("x.n")) & _room(F.col("n"), F.col("pos"), F.col("x.n"), F.col("x.pos"))
     return placed.join(centres, "key").where(far).select(F.least("c", "x.c").alias("a"), F.greatest("c", "x.c").alias("b"))
@@ -257,24 +269,18 @@ def all_links(own: DataFrame, contents: DataFrame, rank: np.ndarray, scratch: Sc
     rooted = _rooted(shared, "c", roots, "root")
     dense = rooted.where(F.col("m") > CAP)
     pairs = cut(_pairs_of_few(rooted.where(F.col("m") <= CAP), dense))
-    number = dense.groupBy(F.col("c").alias("dc")).agg(F.count("*").alias("d"))
-    dense = cut(dense.join(number, F.col("c") == F.col("dc")).select("c", "n", "pos", "d", "key"))
+    dense = cut(dense.select("c", "n", "pos", "key"))
     scratch.discard("keyed", "shared")
     for turn in range(ROUNDS + 1):
         last = turn == ROUNDS
         placed = _placed(dense, roots)
-        if not last:  # one partner for each text: the first, then the last, in turn
-            one = F.min("a") if turn % 2 == 0 else F.max("a")
-            drawn = pairs.groupBy("b").agg(one.alias("a")).select("a", "b")
-            tries = cut(drawn.unionByName(_star(placed, turn)).distinct())
-        else:
-            tries = cut(pairs.unionByName(_all_pairs(placed)).distinct())
+        one = pairs.select("a", "b").unionByName(_all_pairs(placed)) if last else _drawn(pairs, turn).unionByName(_star(placed, turn))
+        tries = cut(one.distinct())
         if tries.isEmpty():
-            return links
-        found = sets.verified(tries)
-        links = links.unionByName(found)
+            continue
+        links = links.unionByName(sets.verified(tries))
         if last:
-            return links
+            break
         roots = components(links)
         pairs = cut(_apart(pairs.join(tries, ["a", "b"], "left_anti"), roots))
     return links
