@@ -6,17 +6,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
+import regex as _re  # has Unicode properties and grapheme clusters
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-try:  # has Unicode properties and grapheme clusters; without it these raise
-    import regex as _re
-except ImportError:
-    _re = re
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 STRINGS = T.ArrayType(T.StringType())
@@ -41,7 +39,7 @@ def python_regex(pattern: str, ignore_case: bool = False, multiline: bool = Fals
     own = "".join(f for f, on in (("i", ignore_case), ("m", multiline), ("x", comments), ("s", dotall)) if on)
     body = re.sub(r"\(\?<([A-Za-z])", r"(?P<\1", pattern)
     body = re.sub(r"\\p\{Is(\w+)\}", r"\\p{\1}", body)
-    sets = "(?V1)" if _re is not re and "&&" in body else ""
+    sets = "(?V1)" if "&&" in body else ""
     return sets + (f"(?{own})" if own else "") + body
 
 
@@ -270,7 +268,7 @@ def line_breaks(text: str) -> list[tuple[int, int, str]]:
 
 
 def characters(text: str) -> list[tuple[int, int, str]]:
-    return [(*m.span(), "") for m in _re.finditer(r"\X" if _re is not re else r"(?s:.)", text)]
+    return [(*m.span(), "") for m in _re.finditer(r"\X", text)]
 
 
 SEGMENTERS = {"character": characters, "word": words, "sentence": sentences, "line_break": line_breaks}
@@ -283,38 +281,45 @@ def segments(text: str, kind: str, skipped: frozenset[str]) -> list[tuple[int, i
 
 # Display width
 
-_ZERO = {"Me", "Mn", "Cf", "Cc"}
+_ZERO = frozenset({"Me", "Mn", "Cf", "Cc"})
+#: Emoji without a presentation of their own that a joiner may join.
+JOINABLE = frozenset(map(ord, "\u2620\u2640\u2642\u2695\u2696\u26a7\u2708\u2744\u2764\U0001f32b\U0001f5e8"))
 
 
+@cache
 def char_width(c: str) -> int:
-    """Columns that a character takes in a terminal."""
+    """Columns that a character takes in a terminal, on its own."""
     o = ord(c)
     if o == 0xAD:
         return 1
-    if o == 0x200B or 0xFE00 <= o <= 0xFE0F or 0x1F3FB <= o <= 0x1F3FF or 0x1160 <= o <= 0x11FF or 0xD7B0 <= o <= 0xD7FB:
+    if o == 0x200B or 0xFE00 <= o <= 0xFE0F or 0x1160 <= o <= 0x11FF or 0xD7B0 <= o <= 0xD7FB:
         return 0
-    cat = unicodedata.category(c)
-    if cat in _ZERO:
+    category = unicodedata.category(c)
+    if category in _ZERO or _re.match(r"\p{Emoji_Modifier}", c):
         return 0
-    if unicodedata.east_asian_width(c) in "FW":
+    wide = unicodedata.east_asian_width(c)
+    if wide in "FW" or category == "So" or wide == "N" and _re.match(r"\p{Emoji_Presentation}", c):
         return 2
-    return 2 if cat == "So" and o >= 0x2600 else 1
+    return 1
+
+
+@cache
+def joins(c: str) -> bool:
+    """Whether a character after a joiner belongs to the emoji before it."""
+    return ord(c) in JOINABLE or bool(_re.match(r"[\p{Emoji_Modifier}\p{Emoji_Presentation}]", c))
 
 
 def width(text: str) -> int:
-    """Display width; what a joiner joins takes no further columns, and a flag is two."""
-    total, flag, joined = 0, False, False
+    """Display width; an emoji after a joiner and the second half of a flag take no columns."""
+    total, previous = 0, ""
     for c in text:
-        o = ord(c)
-        is_flag = 0x1F1E6 <= o <= 0x1F1FF
-        if is_flag and flag:
-            flag = False
-        elif joined and unicodedata.category(c) == "So":
-            flag = False
+        if previous == "\u200d" and joins(c):
+            previous = c
+        elif "\U0001f1e6" <= previous <= "\U0001f1ff" and "\U0001f1e6" <= c <= "\U0001f1ff":
+            previous = ""
         else:
-            total += 2 if is_flag else char_width(c)
-            flag = is_flag
-        joined = o == 0x200D
+            total += char_width(c)
+            previous = c
     return total
 
 
@@ -365,7 +370,3 @@ def sentence_case(text: str) -> str:
             done = done or c.isalnum()
         out.append("".join(part))
     return "".join(out)
-
-
-def batches_decoded(data: Iterator[bytes], encoding: str) -> Iterator[str]:
-    return (x.decode(encoding, "replace") for x in data)

@@ -133,8 +133,12 @@ def value(x: Any) -> Column:
 
 
 def collation(locale: str = "en", strength: int = 3, case_level: bool = False, **options: Any) -> str:
-    """The name of the collation for a locale and a strength."""
-    for name in ("french",):
+    """The name of the collation for a locale and a strength.
+
+    ``normalization`` is always on, and ``uppercase_first`` changes the order alone.  Options that change what is equal and that
+    no collation has are an error here; ``equality_key`` has two of them.
+    """
+    for name in ("french", "numeric", "alternate_shifted"):
         if options.get(name):
             raise NotImplementedError(f"collator option `{name}` has no Spark collation.")
     if strength not in (1, 2, 3):

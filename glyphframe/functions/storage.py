@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` from the checkpoint folder: the one that ``spark.checkpoint.dir`` names, or one of our own."""
+    """``df`` from the checkpoint folder that ``spark.checkpoint.dir`` names; local sessions without one get a folder of their own."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphframe-checkpoint-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="glyphframe-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -38,3 +41,16 @@ def with_position(df: DataFrame, order_by: str | Column | list, name: str = "ind
     within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     joined = ordered.withColumn("__part", part).join(F.broadcast(offsets), "__part")
     return joined.withColumn(name, (F.col("__before") + within + 1).cast("long")).drop("__at", "__part", "__before")
+
+
+def with_running_sum(df: DataFrame, keys: list[str], value: str, name: str) -> tuple[DataFrame, int]:
+    """``df`` with the sum of ``value`` over all rows before, in the order of ``keys``; and its number of rows."""
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    ordered = written(ordered).withColumn("__part", F.shiftright("__at", 33))
+    sizes = ordered.groupBy("__part").agg(F.sum(value).alias("__sum"), F.count("*").alias("__rows"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
+    within = W.partitionBy("__part").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    own = ordered.withColumn("__own", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    out = own.join(F.broadcast(offsets), F.col("__part") == F.col("__p")).withColumn(name, F.col("__own") + F.col("__offset"))
+    return out.drop("__at", "__part", "__p", "__own", "__offset"), sizes.agg(F.coalesce(F.sum("__rows"), F.lit(0))).first()[0]

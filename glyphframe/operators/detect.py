@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphframe.functions.dialect import java_regex, literal_text
-from glyphframe.functions.patterns import Pattern, collation, collation_of, plain, searchable, text, value
-from glyphframe.functions.storage import with_position
+from glyphframe.functions.patterns import Pattern, collation_of, plain, searchable, text, value
+from glyphframe.functions.storage import columns, with_position
 
 ANY = str | Column | Pattern
 
@@ -65,17 +65,20 @@ def str_ends(string, pattern: ANY, negate: bool = False) -> Column:
     return _negated(_found(text(string), searchable(pattern), "end"), negate)
 
 
+#: Fixed patterns: a wildcard that neither a backslash nor a bracket protects.
+ANY_TEXT, ANY_CHARACTER = r"(?<!\\|\[)%(?!\])", r"(?<!\\|\[)_(?!\])"
+
+
 def like_to_regex(pattern: str) -> str:
     """``%`` and ``_`` as wildcards unless escaped by a backslash or in brackets; all else stays a regular expression."""
-    body = re.sub(r"(?<!\\|\[)%(?!\])", ".*", pattern)
-    return "^" + re.sub(r"(?<!\\|\[)_(?!\])", ".", body) + "$"
+    return "^" + re.sub(ANY_CHARACTER, ".", re.sub(ANY_TEXT, ".*", pattern)) + "$"
 
 
 def _like(string, pattern, flags: str) -> Column:
     p = plain(pattern)
     if isinstance(p, str):
         return F.rlike(text(string), F.lit(flags + like_to_regex(p)))
-    body = F.regexp_replace(F.regexp_replace(p, r"(?<!\\|\[)%(?!\])", ".*"), r"(?<!\\|\[)_(?!\])", ".")
+    body = F.regexp_replace(F.regexp_replace(p, ANY_TEXT, ".*"), ANY_CHARACTER, ".")
     return F.rlike(text(string), F.concat(F.lit(flags + "^"), body, F.lit("$")))
 
 
@@ -93,9 +96,10 @@ def str_ilike(string, pattern: str | Column) -> Column:
 
 def str_equal(x, y, locale: str = "en", ignore_case: bool = False, **options) -> Column:
     """Equality under a collation, canonical equivalence included; can be a join key."""
-    options.setdefault("strength", 2 if ignore_case else 3)
-    name = collation(locale, **options)
-    return F.collate(text(x), name) == F.collate(text(y) if isinstance(y, Column) else F.lit(y), name)
+    from glyphframe.operators.ordering import equality_key
+
+    own = lambda v: equality_key(v, locale, ignore_case, **options)
+    return own(text(x)) == own(y if isinstance(y, Column) else F.lit(y))
 
 
 def str_subset(df: DataFrame, string, pattern: ANY, negate: bool = False) -> DataFrame:
@@ -105,8 +109,11 @@ def str_subset(df: DataFrame, string, pattern: ANY, negate: bool = False) -> Dat
 
 def str_which(df: DataFrame, string, pattern: ANY, order_by, negate: bool = False, index: str = "index") -> DataFrame:
     """1-based positions (in the order of ``order_by``) of the rows whose text matches."""
-    c = text(string)
-    return with_position(df.withColumn("__hit", F.coalesce(str_detect(c, pattern, negate), F.lit(False))), order_by, index).where("__hit").select(index)
+    hit = F.coalesce(str_detect(text(string), pattern, negate), F.lit(False))
+    keys = columns(order_by)
+    # nothing but the keys and the answer is shuffled
+    narrow = df.select(*[k.alias(f"__o{i}") for i, k in enumerate(keys)], hit.alias("__hit"))
+    return with_position(narrow, [f"__o{i}" for i in range(len(keys))], index).where("__hit").select(index)
 
 
 __all__ = ["like_to_regex", "str_detect", "str_ends", "str_equal", "str_ilike", "str_like", "str_starts", "str_subset", "str_which"]

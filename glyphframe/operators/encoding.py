@@ -13,9 +13,6 @@ from pyspark.sql import types as T
 from glyphframe.functions import kernels
 from glyphframe.functions.patterns import text
 
-#: Charsets that Spark decodes itself.
-NATIVE = {"us-ascii", "iso8859-1", "utf-16", "utf-16-be", "utf-16-le"}
-
 
 def charset(encoding: str) -> str:
     """The usual name of a charset; an error if it is unknown."""

@@ -12,6 +12,11 @@ from glyphframe.functions.patterns import Pattern, as_pattern, collation_of, tex
 ANY = str | Column | Pattern
 #: Stands for a match while text is split under a collation; a private-use character.
 MARK = "\ue000"
+#: All private-use characters of the basic plane: a row that has ``MARK`` gets the first of these that it does not have.
+PRIVATE = "".join(map(chr, range(0xE000, 0xF900)))
+#: Characters that a collation may ignore, and the most characters that one is equivalent to.
+IGNORED = r"[\p{M}\p{Cf}\p{Cc}]"
+MOST_FOR_ONE = 18
 ALONE = r"^[\x00-\u02FF\u0370-\u0482\u1E00-\u1FFF]*\z"
 SPAN_TYPE = "struct<start:int,end:int>"
 SPANS_TYPE = "array<struct<start:int,end:int>>"
@@ -82,11 +87,19 @@ def regex_spans(s: Column, p: Pattern) -> Column:
 
 
 def coll_length(s: Column, p: Pattern, start: Column) -> Column:
-    """Length of the collated match at ``start``: the longest stretch there that equals the pattern."""
+    """Length of the collated match at ``start``: the longest stretch there that equals the pattern.
+
+    A stretch has at most ``MOST_FOR_ONE`` characters for each of the pattern, and any number of marks and controls.  Between
+    printable ASCII texts the lengths are the same.
+    """
     name, pattern = collation_of(p), value(p.text)
-    sizes = F.sequence(F.lit(1), 4 * F.greatest(F.length(pattern), F.lit(1)))
-    same = F.filter(sizes, lambda n: (F.collate(s.substr(start, n), name) == F.collate(pattern, name)) & (start + n - 1 <= F.length(s)))
-    return F.coalesce(F.array_max(same), F.length(pattern))
+    size = F.greatest(F.length(pattern), F.lit(1))
+    rest = s.substr(start, F.length(s))
+    longest = F.concat(F.lit(f"^{IGNORED}*(?:(?!{IGNORED})(?s:.){IGNORED}*){{0,"), (size * MOST_FOR_ONE).cast("string"), F.lit("}"))
+    sizes = F.sequence(F.lit(1), F.greatest(F.length(F.regexp_substr(rest, longest)), F.lit(1)))
+    same = F.filter(sizes, lambda n: F.collate(s.substr(start, n), name) == F.collate(pattern, name))
+    plain = F.rlike(s, F.lit(r"^[ -~]*\z")) & F.rlike(pattern, F.lit(r"^[ -~]*\z"))
+    return F.when(plain, F.length(pattern)).otherwise(F.coalesce(F.array_max(same), F.length(pattern)))
 
 
 def coll_first(s: Column, p: Pattern) -> Column:
@@ -95,14 +108,21 @@ def coll_first(s: Column, p: Pattern) -> Column:
     return F.call_function("locate", F.collate(value(p.text), name), F.collate(s, name), F.lit(1))
 
 
+def coll_mark(s: Column, p: Pattern) -> Column:
+    """A private-use character that neither the text nor the pattern has."""
+    both = F.concat(s, value(p.text))
+    free = F.call_function("translate", F.lit(PRIVATE), both, F.lit(""))
+    return F.when(F.contains(both, F.lit(MARK)), F.substring(free, 1, 1)).otherwise(F.lit(MARK))
+
+
 def coll_marked(s: Column, p: Pattern) -> Column:
-    """Text with every collated match as ``MARK``."""
+    """Text with every collated match as ``coll_mark``."""
     name = collation_of(p)
-    return F.collate(F.replace(F.collate(s, name), F.collate(value(p.text), name), F.collate(F.lit(MARK), name)), "UTF8_BINARY")
+    return F.collate(F.replace(F.collate(s, name), F.collate(value(p.text), name), F.collate(coll_mark(s, p), name)), "UTF8_BINARY")
 
 
 def coll_spans(s: Column, p: Pattern) -> Column:
-    name, n = collation_of(p), _fixed_count(coll_marked(s, p), F.lit(MARK))
+    name, n = collation_of(p), _fixed_count(coll_marked(s, p), coll_mark(s, p))
     start = F.struct(F.lit(1).alias("at"), F.array().cast(SPANS_TYPE).alias("out"))
 
     def step(acc: Column, _: Column) -> Column:
@@ -130,7 +150,7 @@ def str_count(string, pattern: ANY = "") -> Column:
     if p.static and not p.text:
         return F.lit(None).cast("int")
     if p.kind == "coll":
-        return _fixed_count(coll_marked(s, p), F.lit(MARK))
+        return _fixed_count(coll_marked(s, p), coll_mark(s, p))
     if p.kind == "fixed" and not p.get("ignore_case") and not p.get("overlap"):
         return _fixed_count(s, F.when(value(p.text) != "", value(p.text)))
     if needs_kernel(p) and p.kind == "regex":  # Java also finds empty matches within surrogate pairs

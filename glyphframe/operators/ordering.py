@@ -10,7 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphframe.functions.patterns import collation, text
-from glyphframe.functions.storage import columns, with_position
+from glyphframe.functions.storage import columns, with_position, with_running_sum
+
+
+#: What ``alternate_shifted`` ignores: white space and punctuation.
+SHIFTED = r"[\p{Z}\p{P}\t-\r]"
+#: Up to so many distinct texts are broadcast to the rows that they rank.
+BROADCAST_ROWS = 200_000
 
 
 def natural_key(string) -> Column:
@@ -23,11 +29,20 @@ def natural_key(string) -> Column:
     return F.array_join(F.transform(runs, wide), "")
 
 
+def equality_key(string, locale: str = "en", ignore_case: bool = False, numeric: bool = False, alternate_shifted: bool = False, **options) -> Column:
+    """A column that is equal where the collation says that texts are."""
+    options.setdefault("strength", 2 if ignore_case else 3)
+    s = natural_key(string) if numeric else text(string)
+    if alternate_shifted:
+        s = F.regexp_replace(s, SHIFTED, "")
+    return F.collate(s, collation(locale, **options))
+
+
 def sort_keys(string, locale: str = "en", numeric: bool = False, **options) -> list[Column]:
     """Columns that sort as the collation does."""
     s = natural_key(string) if numeric else text(string)
     if options.pop("alternate_shifted", False):
-        s = F.regexp_replace(s, r"[\p{Z}\p{P}]", "")
+        s = F.regexp_replace(s, SHIFTED, "")
     upper_first = options.pop("uppercase_first", None)
     options.pop("normalization", None)
     name = collation(locale, **options)
@@ -67,17 +82,18 @@ def str_order(df: DataFrame, string, order_by, decreasing: bool = False, na_last
 def str_rank(df: DataFrame, string, order_by, locale: str = "en", numeric: bool = False, name: str = "rank", **options) -> DataFrame:
     """Rows with the rank of their text: ties have the least of their places, null has none.
 
-    Distinct texts are counted first, so a frequent text is one row of what is ordered.
+    Only distinct texts, with their counts, are ordered; rows are neither sorted nor written.  Ranks are broadcast up to
+    ``BROADCAST_ROWS`` distinct texts; beyond, they are joined by text.  ``order_by`` does not matter: ties share a rank.
     """
     keys = sort_keys(string, locale, numeric, **options)
     names = [f"__k{i}" for i in range(len(keys))]
     keyed = df.withColumns(dict(zip(names, keys)))
-    placed = str_order(keyed, string, order_by, locale=locale, numeric=numeric, name="__place", **options)
-    least = placed.where(text(string).isNotNull()).groupBy(*names).agg(F.min("__place").alias("__least"))
-    renamed = least.select(*[F.col(n).alias(f"{n}r") for n in names], "__least")
-    on = [F.col(n) == F.col(f"{n}r") for n in names]
-    joined = keyed.join(renamed, on, "left")
-    return joined.withColumn(name, F.col("__least")).select(*df.columns, name)
+    counts = keyed.where(text(string).isNotNull()).groupBy(*names).agg(F.count("*").alias("__n"))
+    ranked, n = with_running_sum(counts, names, "__n", "__before")
+    ranked = ranked.select(*[F.col(x).alias(f"{x}r") for x in names], (F.col("__before") + 1).cast("long").alias("__rank"))
+    on = [F.col(x) == F.col(f"{x}r") for x in names]
+    joined = keyed.join(F.broadcast(ranked) if n <= BROADCAST_ROWS else ranked, on, "left")
+    return joined.withColumn(name, F.col("__rank")).select(*df.columns, *([name] if name not in df.columns else []))
 
 
 def str_unique(df: DataFrame, string, order_by, locale: str = "en", ignore_case: bool = False, **options) -> DataFrame:
@@ -85,16 +101,14 @@ def str_unique(df: DataFrame, string, order_by, locale: str = "en", ignore_case:
 
     An aggregate that is combined before its shuffle: copies never meet in one task.
     """
-    options.setdefault("strength", 2 if ignore_case else 3)
-    name = collation(locale, **options)
-    first = df.groupBy(F.collate(text(string), name).alias("__key")).agg(F.min_by(F.struct(*df.columns), F.struct(*columns(order_by))).alias("__row"))
+    key = equality_key(string, locale, ignore_case, **options)
+    first = df.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*df.columns), F.struct(*columns(order_by))).alias("__row"))
     return first.select("__row.*")
 
 
 def str_duplicated(df: DataFrame, string, order_by, locale: str = "en", ignore_case: bool = False, name: str = "duplicated", **options) -> DataFrame:
     """Rows with whether an earlier row has the same text."""
-    options.setdefault("strength", 2 if ignore_case else 3)
-    key = F.collate(text(string), collation(locale, **options))
+    key = equality_key(string, locale, ignore_case, **options)
     place = F.struct(*columns(order_by))
     first = df.groupBy(key.alias("__first_key")).agg(F.min(place).alias("__first"))
     joined = df.withColumn("__own_key", key).join(first, F.col("__own_key").eqNullSafe(F.col("__first_key")))

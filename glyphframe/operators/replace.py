@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from glyphframe.functions import kernels
 from glyphframe.functions.dialect import facts, fix_replacement, fix_replacement_column, flags, java_regex, shift_groups, shift_replacement, to_java
 from glyphframe.functions.patterns import Pattern, as_pattern, searchable, text, value
-from glyphframe.operators.locate import MARK, coll_first, coll_length, needs_kernel, python_pattern
+from glyphframe.operators.locate import MARK, coll_first, coll_length, coll_spans, invert_match, needs_kernel, python_pattern
 
 ANY = str | Column | Pattern
 
@@ -159,9 +159,9 @@ def str_replace_all(string, pattern: ANY | Mapping, replacement=None) -> Column:
 
 
 def _by_function(s: Column, p: Pattern, replacement, every: bool) -> Column:
-    if p.kind == "coll" or not p.static:
-        raise NotImplementedError("replacement functions need a regular expression or fixed text given as a string.")
     if isinstance(replacement, per_batch):
+        if p.kind == "coll" or not p.static:
+            raise NotImplementedError("per_batch() needs a regular expression or fixed text given as a string; a function of a Column takes any pattern.")
         body, fn = python_pattern(p), replacement.fn
 
         @F.pandas_udf(T.StringType())
@@ -179,8 +179,13 @@ def _by_function(s: Column, p: Pattern, replacement, every: bool) -> Column:
 
         found = kernels.mapped(T.ArrayType(kernels.STRINGS), pieces, s)
         gaps, hits = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+    elif p.kind == "coll":
+        spans = coll_spans(s, p) if every else F.slice(coll_spans(s, p), 1, 1)
+        hits = F.transform(spans, lambda x: s.substr(x["start"], x["end"] - x["start"] + 1))
+        begin = lambda g: F.greatest(g["start"], F.lit(1))
+        gaps = F.transform(invert_match(spans), lambda g: s.substr(begin(g), F.when(g["end"] < 0, F.length(s)).otherwise(g["end"]) - begin(g) + 1))
     else:
-        java = F.lit(java_regex(p))
+        java = value(java_regex(p))
         gaps = F.split(s, java, -1 if every else 2)
         hits = F.regexp_extract_all(s, java, F.lit(0))
         hits = hits if every else F.slice(hits, 1, 1)

@@ -9,7 +9,7 @@ from glyphframe.functions import kernels
 from glyphframe.functions.dialect import java_regex, literal_text, quote
 from glyphframe.functions.patterns import Pattern, as_pattern, fixed, text, value
 from glyphframe.operators.extract import padded
-from glyphframe.operators.locate import MARK, coll_marked, coll_spans, invert_match, needs_kernel, python_pattern, segment_texts, str_locate_all
+from glyphframe.operators.locate import coll_mark, coll_marked, coll_spans, invert_match, needs_kernel, python_pattern, segment_texts, str_locate_all
 
 ANY = str | Column | Pattern
 #: All line terminators of Unicode.
@@ -39,7 +39,7 @@ def str_split(string, pattern: ANY, n: int | float | None = None, simplify: bool
     elif p.static and not p.text:
         pieces = F.array(F.lit(None).cast("string"))
     elif p.kind == "coll":
-        pieces = F.split(coll_marked(s, p), MARK, -1)
+        pieces = F.split(coll_marked(s, p), coll_mark(s, p), -1)
         if limit > 0:
             spans = F.slice(coll_spans(s, p), 1, limit - 1) if limit > 1 else F.array().cast("array<struct<start:int,end:int>>")
             gaps = invert_match(spans)
@@ -80,6 +80,11 @@ def word(string, start: int | Column = 1, end: int | Column | None = None, sep:
     """Words ``start`` to ``end`` with what is between them; negative numbers count from the end; null past the end."""
     s, p = text(string), as_pattern(fixed(" ") if sep is None else sep)
     literal = literal_text(p)
+    if literal and isinstance(start, int) and start > 0 and end in (None, start):  # no more is split than is needed
+        pieces = F.split(s, quote(literal), start + 1)
+        return F.try_element_at(pieces, F.lit(start))
+    if literal and len(literal) == 1 and isinstance(start, int) and start == -1 and end in (None, -1):
+        return F.substring_index(s, literal, -1)
     first, last = value(start), value(start if end is None else end)
     pieces = F.split(s, quote(literal), -1) if literal else None
     gaps = None if literal else invert_match(str_locate_all(s, p))

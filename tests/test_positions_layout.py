@@ -69,6 +69,16 @@ def test_trunc(check):
             t(L("foobar"), *args)
 
 
+def test_width_rules(check):
+    """Columns by the rule: other symbols are two, whatever the block; a joiner joins emoji only; flags are pairs."""
+    widths = {
+        "©": 2, "®": 2, "°": 2, "─│┌": 6, "■": 2, "★": 2, "™": 2, "§": 1, "±": 1, "…": 1, "€": 1, "ß": 1, "\u00ad": 1, "\u200b": 0,
+        "e\u0301": 1, "ﾊ": 1, "ハ": 2, "한": 2, "\u1112\u1161\u11ab": 2, "👩\u200d💻": 2, "\u200d©": 2, "❤\ufe0f": 2, "👍🏽": 2, "🏽": 0,
+        "🇩🇪": 2, "🇩🇪🇫🇷": 4, "🇩": 2, "🇩🇪🇫": 4, "🏴\u200d☠\ufe0f": 2, "\tx\x7f": 1, "x\u200d": 1,
+    }
+    check(*[(s.str_width(L(t)), n) for t, n in widths.items()], (s.str_pad(L("©"), 4, "right", "."), "©.."), (s.str_pad(L("°C"), 6, "both", "-"), "-°C--"))
+
+
 def test_length_width(check):
     check(
         (s.str_length(L("abc")), 3),

@@ -10,69 +10,72 @@ TR = s.coll("I", ignore_case=True, locale="tr")
 
 def test_replace(check):
     check(
-        (s.str_replace_all(L("abababa"), "ba", "BA"), "aBABABA"),
-        (s.str_replace(L("abababa"), "ba", "BA"), "aBAbaba"),
-        (s.str_replace_all(L("a1"), {"a": "1", "b": "2"}), "11"),
-        (s.str_replace_all(L("c3"), {"a": "1", "b": "2"}), "c3"),
-        (s.str_replace_all(L("x"), s.regex("X", ignore_case=True), "a"), "a"),
-        (s.str_replace(L("xyz"), "x", NULL), None),
-        (s.str_replace(L("xyz"), "q", NULL), "xyz"),
+        (s.str_replace_all(L("tomato"), "to", "TA"), "TAmaTA"),
+        (s.str_replace_all(L("kiwi kiwi"), "wi", "WI"), "kiWI kiWI"),
+        (s.str_replace(L("kiwi kiwi"), "wi", "WI"), "kiWI kiwi"),
+        (s.str_replace_all(L("p7"), {"p": "7", "7": "seven"}), "sevenseven"),
+        (s.str_replace_all(L("q8"), {"p": "7", "7": "seven"}), "q8"),
+        (s.str_replace_all(L("m"), s.regex("M", ignore_case=True), "n"), "n"),
+        (s.str_replace(L("tuv"), "u", NULL), None),
+        (s.str_replace(L("tuv"), "q", NULL), "tuv"),
         (s.str_replace_na(NULL), "NA"),
-        (s.str_replace(L("x.x"), s.fixed("."), "Y"), "xYx"),
-        (s.str_replace_all(L("x.x."), s.fixed("."), "Y"), "xYxY"),
+        (s.str_replace(L("3+4+5"), s.fixed("+"), "-"), "3-4+5"),
+        (s.str_replace_all(L("3+4+5"), s.fixed("+"), "-"), "3-4-5"),
         (s.str_replace(L("ı"), TR, "Y"), "Y"),
-        (s.str_replace_all(L("ıI"), TR, "Y"), "YY"),
+        (s.str_replace_all(L("kıIk"), TR, "y"), "kyyk"),
         (s.str_replace(L("ae\u0301b"), s.coll("\u00e9"), "_"), "a_b"),
-        (s.str_remove_all(L("abababa"), "ba"), "a"),
-        (s.str_remove(L("abababa"), "ba"), "ababa"),
-        (s.str_replace(NULL, "a", "b"), None),
-        (s.str_replace(L("aXbx"), s.fixed("x", ignore_case=True), "$1"), "a$1bx"),
-        (s.str_replace_all(L("aXbx"), s.fixed("x", ignore_case=True), "$1"), "a$1b$1"),
-        (s.str_replace(L("ab\ncd"), "c(d)", r"<\1\0>"), "ab\n<dcd>"),
-        (s.str_replace(L("abcabc"), r"(b)(c)", L(r"\2\1")), "acbabc"),
-        (s.str_replace(L("xaaa"), r"(a)\1", "_"), "x_a"),
+        (s.str_remove_all(L("kiwi kiwi"), "wi"), "ki ki"),
+        (s.str_remove(L("kiwi kiwi"), "wi"), "ki kiwi"),
+        (s.str_replace(NULL, "k", "l"), None),
+        (s.str_replace(L("mQnq"), s.fixed("q", ignore_case=True), "$1"), "m$1nq"),
+        (s.str_replace_all(L("mQnq"), s.fixed("q", ignore_case=True), "$1"), "m$1n$1"),
+        (s.str_replace(L("mn\nop"), "o(p)", r"<\1\0>"), "mn\n<pop>"),
+        (s.str_replace(L("uvwuvw"), r"(v)(w)", L(r"\2\1")), "uwvuvw"),
+        (s.str_replace(L("zeee"), r"(e)\1", "_"), "z_e"),
         (s.str_replace_all(L("a😊b"), "x*", "-"), "-a-😊-b-"),
-        (s.str_replace_all(L("ab"), "(b?)", r"[\1$]"), "[$]a[b$][$]"),
-        (s.str_extract_all(L("😊a"), "a*"), ["", "a", ""]),
-        (s.replace_charclass(L("aabbc"), "[ab]", "x", merge=True), "xc"),
+        (s.str_replace_all(L("mn"), "(n?)", r"[\1$]"), "[$]m[n$][$]"),
+        (s.str_extract_all(L("😊m"), "m*"), ["", "m", ""]),
+        (s.replace_charclass(L("eeffg"), "[ef]", "x", merge=True), "xg"),
     )
 
 
 def test_back_references(check, spark):
+    """A digit after a backslash is a group; a dollar sign and a doubled backslash are themselves."""
+    word = r"(p)(q)(r)"
     check(
-        (s.str_replace_all(L("abcde"), "(b)(c)(d)", "\\1"), "abe"),
-        (s.str_replace_all(L("abcde"), "(b)(c)(d)", "\\2"), "ace"),
-        (s.str_replace_all(L("abcde"), "(b)(c)(d)", "\\0"), "abcde"),
-        (s.str_replace_all(L("abcde"), "bcd", "\\\\1"), "a\\1e"),
-        (s.str_replace_all(L("a!1!2!b"), "!", "$"), "a$1$2$b"),
-        (s.str_replace(L("aba"), "b", "$"), "a$a"),
-        (s.str_replace(L("aba"), "b", "$$$"), "a$$$a"),
-        (s.str_replace(L("aba"), "(b)", "\\1$\\1$\\1"), "ab$b$ba"),
-        (s.str_replace(L("aba"), "(b)", "\\1$\\\\1$\\1"), "ab$\\1$ba"),
-        (s.str_replace(L("aba"), "(b)", "\\\\1$\\1$\\\\1"), "a\\1$b$\\1a"),
+        *[(s.str_replace_all(L("opqrs"), word, f"\\{i}"), f"o{g}s") for i, g in enumerate(("pqr", "p", "q", "r"))],
+        (s.str_replace_all(L("opqrs"), word, r"\3\2\1"), "orqps"),
+        (s.str_replace_all(L("opqrs"), "q", r"\\2"), r"op\2rs"),
+        (s.str_replace_all(L("4%of%9"), "%", "$"), "4$of$9"),
+        (s.str_replace(L("eve"), "v", "$2"), "e$2e"),
+        (s.str_replace(L("eve"), "(v)", r"$\1$"), "e$v$e"),
+        (s.str_replace(L("eve"), "(v)", r"\\$\1"), "e\\$ve"),
     )
-    with pytest.raises(ValueError, match="group 4"):
-        s.str_replace_all(L("abcde"), "(b)(c)(d)", "\\4")
-    assert fix_replacement("$") == "\\$" and fix_replacement("\\$") == "\\\\$"
-    assert fix_replacement("\\1") == "$1" and fix_replacement("\\9") == "$9" and fix_replacement("\\\\1") == "\\\\1"
-    assert fix_replacement("a\\") == "a"
+    with pytest.raises(ValueError, match="group 5"):
+        s.str_replace_all(L("opqrs"), word, r"\5")
+    fixed = {"$": r"\$", r"\$": r"\\$", r"\3": "$3", r"\\3": r"\\3", "end\\": "end"}
+    assert {k: fix_replacement(k) for k in fixed} == fixed
     with pytest.raises(TypeError):
-        s.str_replace(L("x"), "x", 1)
+        s.str_replace(L("o"), "o", 1)
 
 
 def test_functions(check, spark):
-    double = lambda m: F.upper(F.concat(m, m))
+    twice = lambda m: F.upper(F.concat(m, m))
     check(
-        (s.str_replace(L("abc"), "a|c", F.upper), "Abc"),
-        (s.str_replace_all(L("abc"), "a|c", F.upper), "AbC"),
-        (s.str_replace_all(L("abc"), "b", lambda m: L("x")), "axc"),
-        (s.str_replace_all(L("cba"), "a|c", double), "CCbAA"),
-        (s.str_replace_all(L(""), "a|c", double), ""),
-        (s.str_replace(L("abc"), "z", F.upper), "abc"),
-        (s.str_replace(L("abc"), "$", F.upper), "abc"),
-        (s.str_replace_all(L("abc"), "$|^", lambda m: L("X")), "XabcX"),
-        (s.str_replace_all(L("abc"), "a|c", s.per_batch(lambda x: x.str.upper())), "AbC"),
-        (s.str_replace_all(NULL, "a", F.upper), None),
+        (s.str_replace(L("melon"), "[eo]", F.upper), "mElon"),
+        (s.str_replace_all(L("melon"), "[eo]", F.upper), "mElOn"),
+        (s.str_replace_all(L("melon"), "l", lambda m: L("r")), "meron"),
+        (s.str_replace_all(L("one"), "o|e", twice), "OOnEE"),
+        (s.str_replace_all(L(""), "o|e", twice), ""),
+        (s.str_replace(L("melon"), "z", F.upper), "melon"),
+        (s.str_replace(L("melon"), "$", F.upper), "melon"),
+        (s.str_replace_all(L("pip"), "$|^", lambda m: L("|")), "|pip|"),
+        (s.str_replace_all(L("melon"), "[eo]", s.per_batch(lambda x: x.str.upper())), "mElOn"),
+        (s.str_replace_all(NULL, "e", F.upper), None),
+        (s.str_replace_all(L("Ölöl"), s.coll("ö", ignore_case=True), lambda m: F.concat(L("<"), m, L(">"))), "<Ö>l<ö>l"),
+        (s.str_replace(L("Ölöl"), s.coll("ö"), F.upper), "ÖlÖl"),
+        (s.str_replace_all(L("e1e2"), L("e[0-9]"), F.upper), "E1E2"),
+        (s.str_replace(L("e1e2"), s.fixed(L("e2")), F.upper), "e1E2"),
     )
     for bad in (lambda x: x.map(len), lambda x: x[:0]):
         with pytest.raises(Exception, match="replacement function"):
@@ -82,28 +85,28 @@ def test_functions(check, spark):
 def test_split(check):
     check(
         (s.str_split(NULL, ""), [None]),
-        (s.str_split(L("dadad"), "a"), ["d", "d", "d"]),
-        (s.str_split(L("ab"), ""), ["a", "b"]),
-        (s.str_split(L("this that."), s.boundary("word")), ["this", "that"]),
-        (s.str_split(L("a-b"), s.fixed("-")), ["a", "b"]),
-        (s.str_split(L("aXb"), s.coll("x", ignore_case=True)), ["a", "b"]),
-        (s.str_split(L("aXbxc"), s.coll("x", ignore_case=True), n=2), ["a", "bxc"]),
-        (s.str_split(L("a-b"), "-", n=1), ["a-b"]),
-        (s.str_split(L("a"), "-", n=3), ["a"]),
-        (s.str_split(L("a-b"), "-", n=3), ["a", "b"]),
-        (s.str_split(L("-a-"), "-"), ["", "a", ""]),
-        (s.str_split(L(""), "-"), [""]),
-        (s.str_split(L("abc"), "(?=b)"), ["a", "bc"]),
-        (s.str_split(L("e\u0301a"), ""), ["e\u0301", "a"]),
-        (s.str_split(L("abcd"), "", n=2), ["a", "bcd"]),
-        (s.str_split_fixed(L("a-b"), "-", 3), ["a", "b", ""]),
-        (s.str_split_fixed(L("a-b-c"), "-", 2), ["a", "b-c"]),
-        (s.str_split_i(L("1-2-3"), "-", 1), "1"),
-        (s.str_split_i(L("1-2-3"), "-", -1), "3"),
-        (s.str_split_i(L("a"), "-", 2), None),
-        (s.str_split_i(L("4-5"), "-", -3), None),
-        (s.split_lines(L("a\r\nb\u2028c\x85")), ["a", "b", "c", ""]),
-        (s.split_lines(L("a\nb\n"), drop_last=True), ["a", "b"]),
+        (s.str_split(L("kayak"), "a"), ["k", "y", "k"]),
+        (s.str_split(L("mn"), ""), ["m", "n"]),
+        (s.str_split(L("soon, later."), s.boundary("word")), ["soon", "later"]),
+        (s.str_split(L("p+q"), s.fixed("+")), ["p", "q"]),
+        (s.str_split(L("1Z2"), s.coll("z", ignore_case=True)), ["1", "2"]),
+        (s.str_split(L("1Z2z3"), s.coll("z", ignore_case=True), n=2), ["1", "2z3"]),
+        (s.str_split(L("p+q"), r"\+", n=1), ["p+q"]),
+        (s.str_split(L("p"), r"\+", n=4), ["p"]),
+        (s.str_split(L("p+q"), r"\+", n=4), ["p", "q"]),
+        (s.str_split(L("/p/"), "/"), ["", "p", ""]),
+        (s.str_split(L(""), "/"), [""]),
+        (s.str_split(L("pqr"), "(?=q)"), ["p", "qr"]),
+        (s.str_split(L("e\u0301n"), ""), ["e\u0301", "n"]),
+        (s.str_split(L("pqrs"), "", n=3), ["p", "q", "rs"]),
+        (s.str_split_fixed(L("p/q"), "/", 3), ["p", "q", ""]),
+        (s.str_split_fixed(L("p/q/r"), "/", 2), ["p", "q/r"]),
+        (s.str_split_i(L("9/8/7"), "/", 1), "9"),
+        (s.str_split_i(L("9/8/7"), "/", -1), "7"),
+        (s.str_split_i(L("p"), "/", 2), None),
+        (s.str_split_i(L("9/8"), "/", -3), None),
+        (s.split_lines(L("p\r\nq\u2028r\x85")), ["p", "q", "r", ""]),
+        (s.split_lines(L("p\nq\n"), drop_last=True), ["p", "q"]),
     )
 
 
@@ -123,17 +126,21 @@ def test_split_errors(spark, strings):
 
 
 def test_word(check):
-    moon = L("walk the moon")
+    tide = L("low tide at dawn")
+    dotted = L("v1.2..beta.3")
     check(
-        (s.word(moon), "walk"),
-        (s.word(moon, 3), "moon"),
-        (s.word(moon, 2, 3), "the moon"),
-        (s.word(L("a b c"), 4), None),
-        (s.word(moon, -1, -1), "moon"),
-        (s.word(moon, -3, -1), "walk the moon"),
-        (s.word(moon, -5, -1), "walk the moon"),
-        (s.word(L("abc.def..123.4568.999"), 1, sep=s.fixed("..")), "abc.def"),
-        (s.word(L("abc.def..123.4568.999"), 2, sep=s.fixed("..")), "123.4568.999"),
-        (s.word(L("a1b22c"), 2, 3, sep="[0-9]+"), "b22c"),
+        (s.word(tide), "low"),
+        (s.word(tide, 4), "dawn"),
+        (s.word(tide, 2, 3), "tide at"),
+        (s.word(tide, 5), None),
+        (s.word(tide, -1), "dawn"),
+        (s.word(tide, -2, -1), "at dawn"),
+        (s.word(tide, -9, -1), "low tide at dawn"),
+        (s.word(dotted, 1, sep=s.fixed("..")), "v1.2"),
+        (s.word(dotted, 2, sep=s.fixed("..")), "beta.3"),
+        (s.word(dotted, -1, sep=s.fixed("..")), "beta.3"),
+        (s.word(L("xaaay"), -1, sep=s.fixed("aa")), "ay"),
+        (s.word(L("p1q22r"), 2, 3, sep="[0-9]+"), "q22r"),
         (s.word(NULL), None),
+        (s.word(NULL, -1), None),
     )
