@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +13,8 @@ from glyphframe.functions.patterns import text
 from glyphframe.operators.layout import str_trim
 
 TURKIC = ("tr", "az")
-#: Languages with rules of their own that Spark does not have.
-SPECIAL = ("lt", "el", "nl")
+#: Languages with rules of their own that neither Spark nor this module has.
+SPECIAL = ("lt",)
 #: Fixed pattern: where a word of an identifier ends.
 WORD_BREAK = (
     r"[^\p{L}\p{N}]+"
@@ -32,8 +34,36 @@ def _language(locale: str) -> str:
     return language
 
 
+def greek_upper(t: str) -> str:
+    """Greek capitals have no accents but the dialytika, which also marks an iota or upsilon after an accented vowel.
+
+    The word "or", an eta with an accent that stands alone, keeps it.
+    """
+    out, accented = [], False
+    clusters: list[list[str]] = []
+    for c in unicodedata.normalize("NFD", t):
+        if clusters and unicodedata.combining(c):
+            clusters[-1][1] += c
+        else:
+            clusters.append([c, ""])
+    for i, (base, marks) in enumerate(clusters):
+        if not "\u0370" <= base <= "\u03ff":
+            out.append((base + marks).upper())
+            accented = False
+            continue
+        alone = base in "\u03b7\u0397" and "\u0301" in marks and not any(0 <= j < len(clusters) and clusters[j][0].isalpha() for j in (i - 1, i + 1))
+        apart = "\u0308" in marks or accented and base in "\u03b9\u03c5\u0399\u03a5" and not marks
+        out.append(base.upper() + ("\u0301" if alone else "") + ("\u0308" if apart else ""))
+        accented = bool(set(marks) & set("\u0300\u0301\u0342")) and base in "\u03b1\u03b5\u03b7\u03bf\u0391\u0395\u0397\u039f"
+    return unicodedata.normalize("NFC", "".join(out))
+
+
 def str_to_upper(string, locale: str = "en") -> Column:
+    """Upper case by the full mapping and the language's rules."""
     s = text(string)
+    if _language(locale) == "el":
+        greek = F.rlike(s, F.lit(r"[\u0370-\u03FF\u1F00-\u1FFF]"))
+        return F.when(greek, kernels.mapped(T.StringType(), greek_upper, F.when(greek, s))).otherwise(F.upper(s))
     return F.upper(F.translate(s, "iı", "İI") if _language(locale) in TURKIC else s)
 
 
@@ -46,7 +76,8 @@ def str_to_title(string, locale: str = "en") -> Column:
     """Each word with a capital, by Unicode word boundaries."""
     language = _language(locale)
     name = language if language in TURKIC else "UNICODE"
-    return F.collate(F.initcap(F.collate(text(string), name)), "UTF8_BINARY")
+    titled = F.collate(F.initcap(F.collate(text(string), name)), "UTF8_BINARY")
+    return F.regexp_replace(titled, r"(?<![\p{L}\p{M}])Ij", "IJ") if language == "nl" else titled
 
 
 def str_to_sentence(string, locale: str = "en") -> Column:

@@ -48,6 +48,9 @@ def str_pad(string, width: int | Column, side: str = "left", pad: str | Column =
     missing = F.greatest(value(width) - have, F.lit(0))
     left = missing if side == "left" else F.lit(0) if side == "right" else F.floor(missing / 2).cast("int")
     filler = value(pad)
+    if isinstance(pad, Column):
+        size = str_width(pad) if use_width else F.length(pad)
+        filler = F.when(pad.isNull() | (size == 1), pad).otherwise(F.raise_error(F.lit("`pad` must be one column wide." if use_width else "`pad` must be a single character.")))
     return F.concat(F.call_function("repeat", filler, left.cast("int")), s, F.call_function("repeat", filler, (missing - left).cast("int")))
 
 

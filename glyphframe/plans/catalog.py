@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphframe import api as s
+from glyphframe.functions.storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -100,7 +101,9 @@ _verb("count_fixed", *DOC, lambda: {"n": s.str_count("text", s.fixed("the")), "o
       {"n": "((length(text) - length(replace(text, 'the', ''))) / 3)::INT", "over": "len(list_filter(generate_series(1, length(text)), lambda i: substring(text, i, 2) = 'nn'))::INT"})
 _verb("count_coll", *PART, lambda: {"n": s.str_count("p_name", s.coll("E", ignore_case=True))}, {"n": "(length(p_name) - length(replace(lower(p_name), 'e', '')))::INT"})
 _verb("count_characters", *DOC, lambda: {"n": s.str_count("text", "")}, {"n": "length_grapheme(text)::INT"})
-_verb("count_words", *PART, lambda: {"n": s.str_count("p_name", s.boundary("word"))}, {"n": "len(regexp_extract_all(p_name, '[A-Za-z0-9]+'))::INT"})
+_verb("count_words", *DOC, lambda: {"n": s.str_count(F.regexp_replace("text", "[^A-Za-z\u00c0-\u024f \n]", " "), s.boundary("word"))}, {"n": r"len(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{024F}]+'))::INT"})
+_verb("coll_marks", *PART, lambda: {"found": s.str_extract(F.replace("p_name", F.lit("e"), F.lit("e\u0301\u0323\u0308")), s.coll("E", strength=1)), "n": s.str_count(F.replace("p_name", F.lit("e"), F.lit("\ue000e")), s.coll("e")), "pieces": F.size(s.str_split(F.replace("p_name", F.lit("a"), F.lit("\ue000")), s.coll("e"))), "same": s.str_equal(F.replace("p_name", F.lit("e"), F.lit("\u00e9")), F.replace("p_name", F.lit("e"), F.lit("e\u0301"))), "loose": s.str_equal(F.replace("p_name", F.lit(" "), F.lit("-")), F.replace("p_name", F.lit(" "), F.lit("")), alternate_shifted=True)},
+      {"found": "CASE WHEN contains(p_name, 'e') THEN 'e' || chr(769) || chr(803) || chr(776) END", "n": "len(regexp_extract_all(p_name, 'e'))::INT", "pieces": "len(string_split(p_name, 'e'))::INT", "same": "true", "loose": "true"})
 _verb("locate_fixed", *DOC, lambda: {"start": s.str_locate("text", s.fixed("the"))["start"], "end": s.str_locate("text", s.fixed("the"))["end"]},
       {"start": "nullif(strpos(text, 'the'), 0)::INT", '"end"': "(nullif(strpos(text, 'the'), 0) + 2)::INT"})
 _verb("locate_regex", *DOC, lambda: {"start": s.str_locate("text", "[0-9]+")["start"], "end": s.str_locate("text", "[0-9]+")["end"]},
@@ -112,7 +115,8 @@ _verb("locate_all_fixed_coll", *PART, lambda: {"fixed": _spans(s.str_locate_all(
       dict.fromkeys(("fixed", "coll"), "array_to_string(list_transform(list_filter(generate_series(1, length(p_name)), lambda i: p_name[i] = 'e'), lambda i: i || '-' || i), ',')"))
 _verb("invert_match", *PART, lambda: {"gaps": _spans(s.invert_match(s.str_locate_all("p_name", s.fixed("e"))))},
       {"gaps": "(SELECT array_to_string(list_transform(generate_series(0, len(pos)), lambda i: (CASE WHEN i = 0 THEN 0 ELSE pos[i] + 1 END) || '-' || (CASE WHEN i = len(pos) THEN -1 ELSE pos[i + 1] - 1 END)), ',') FROM (SELECT list_filter(generate_series(1, length(p_name)), lambda i: p_name[i] = 'e') AS pos))"})
-_verb("locate_words", *PART, lambda: {"spans": _spans(s.str_locate_all("p_name", s.boundary("word")))}, None)
+_verb("locate_words", *PART, lambda: {"spans": _spans(s.str_locate_all("p_name", s.boundary("word")))},
+      {"spans": "(SELECT array_to_string(list_transform(generate_series(1, len(ws)), lambda i: (length(array_to_string(ws[1:i - 1], ' ')) + (CASE WHEN i > 1 THEN 2 ELSE 1 END)) || '-' || length(array_to_string(ws[1:i], ' '))), ',') FROM (SELECT string_split(p_name, ' ') AS ws))"})
 
 # Extraction
 
@@ -159,7 +163,8 @@ _verb("split_piece", *PAGE, lambda: {"third": s.str_split_i("url", s.fixed("/"),
 _verb("split_lines", *DOC, lambda: {"n": F.size(s.split_lines("text")), "first": F.get(s.split_lines("text"), F.lit(0))}, {"n": "len(string_split(text, chr(10)))::INT", "first": "string_split(text, chr(10))[1]"})
 _verb("words_by_number", *DOC, lambda: {"first": s.word("text"), "two": s.word("text", 2, 3), "last": s.word("text", -1), "far": s.word("text", 100000)},
       {"first": "string_split(text, ' ')[1]", "two": "CASE WHEN len(string_split(text, ' ')) >= 3 THEN array_to_string(string_split(text, ' ')[2:3], ' ') END", "last": "string_split(text, ' ')[-1]", "far": "string_split(text, ' ')[100000]"})
-_verb("split_sentences", "conversations", ("conv_id", "turn"), lambda: {"n": F.size(s.str_split("text", s.boundary("sentence")))}, None)
+_verb("split_sentences", "conversations", ("conv_id", "turn"), lambda: {"n": F.size(s.str_split("text", s.boundary("sentence")))},
+      {"n": r"len(regexp_extract_all(text, '[^.!?\n]*([.!?]+ *\n?|\n)|[^.!?\n]+$'))::INT"})
 
 
 @_query("split_one", "SELECT unnest(string_split(r_name, 'A')) AS piece FROM region WHERE r_regionkey = 1")
@@ -176,12 +181,17 @@ _verb("sub_several", *PART, lambda: {"out": _joined(s.str_sub_all("p_name", [(1,
       {"out": "p_name[1] || '|' || p_name[2:3] || '|' || p_name[length(p_name) - 1:]", "put": "'<' || p_name[2] || '>' || p_name[4:]"})
 _verb("trunc_sides", *DOC, lambda: {side: s.str_trunc("text", 20, side) for side in ("right", "left", "center")},
       {"\"right\"": "CASE WHEN length(text) > 20 THEN text[:17] || '...' ELSE text END", "\"left\"": "CASE WHEN length(text) > 20 THEN '...' || text[length(text) - 16:] ELSE text END", "center": "CASE WHEN length(text) > 20 THEN text[:9] || '...' || text[length(text) - 7:] ELSE text END"})
-_verb("reverse_text", *PART, lambda: {"out": s.str_reverse("p_name")}, {"out": "reverse(p_name)"})
+_verb("reverse_text", *DOC, lambda: {"out": s.str_reverse(F.regexp_replace("text", "\\s+", " "))}, {"out": "reverse(regexp_replace(text, '\\s+', ' ', 'g'))"})
 
 # Layout
 
 _verb("length_text", *DOC, lambda: {"n": s.str_length("text")}, {"n": "length(text)::INT"})
-_verb("width_text", *PART, lambda: {"n": s.str_width("p_name")}, {"n": "length(p_name)::INT"})
+_verb("width_text", *DOC, lambda: {"n": s.str_width("text")}, {"n": "length(regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g'))::INT"})
+# letters stand for wide, symbol, joined and combining characters
+_verb("width_wide", *PART, lambda: {"n": s.str_width(F.replace(F.replace(F.replace("p_name", F.lit("a"), F.lit("\u4e2d")), F.lit("e"), F.lit("\u00a9")), F.lit("i"), F.lit("i\u0301"))), "emoji": s.str_width(F.replace("p_name", F.lit("r"), F.lit("\U0001f469\u200d\U0001f4bb")))},
+      {"n": "(length(p_name) + len(regexp_extract_all(p_name, '[ae]')))::INT", "emoji": "(length(p_name) + len(regexp_extract_all(p_name, 'r')))::INT"})
+_verb("pad_wide", *PART, lambda: {"out": s.str_pad(F.replace("p_name", F.lit("a"), F.lit("\u00a9")), 24, "right", "."), "by_column": s.str_pad("p_name", 24, "left", F.substring("p_brand", 1, 1))},
+      {"out": "replace(p_name, 'a', '\u00a9') || repeat('.', greatest(24 - length(p_name) - len(regexp_extract_all(p_name, 'a')), 0)::INT)", "by_column": "repeat(p_brand[1], greatest(24 - length(p_name), 0)) || p_name"})
 _verb("pad_sides", *PART, lambda: {"a": s.str_pad("p_name", 20), "b": s.str_pad("p_name", 20, "right", "."), "c": s.str_pad("p_name", 20, "both", "*")},
       {"a": "repeat(' ', greatest(20 - length(p_name), 0)) || p_name", "b": "p_name || repeat('.', greatest(20 - length(p_name), 0))", "c": "repeat('*', greatest(20 - length(p_name), 0) // 2) || p_name || repeat('*', greatest(20 - length(p_name), 0) - greatest(20 - length(p_name), 0) // 2)"})
 _verb("trim_squish", *PART, lambda: {k: v for k, v in (("both", s.str_trim(F.concat(F.lit(" \t "), "p_name", F.lit(" \n")))), ("l", s.str_trim(F.concat(F.lit("  "), "p_name", F.lit(" ")), "left")), ("squish", s.str_squish(F.concat(F.lit("  "), "p_name", F.lit(" \t x ")))))},
@@ -212,6 +222,9 @@ def _flatten_comma(spark, sf_dir):
 
 # Case
 
+_verb("case_accents", *DOC, lambda: {"up": s.str_to_upper("text"), "low": s.str_to_lower("text")}, {"up": "upper(replace(text, chr(223), 'SS'))", "low": "lower(text)"})
+_verb("case_locales", *PART, lambda: {"tr": s.str_to_upper("p_name", "tr"), "el": s.str_to_upper(F.replace("p_name", F.lit("a"), F.lit("\u03ac")), "el"), "nl": s.str_to_title(F.concat(F.lit("ij"), "p_name"), "nl")},
+      {"tr": "upper(replace(p_name, 'i', chr(304)))", "el": "replace(upper(replace(p_name, 'a', chr(945))), 'a', chr(913))", "nl": "'IJ' || array_to_string(list_transform(generate_series(1, len(string_split(p_name, ' '))), lambda i: CASE WHEN i = 1 THEN string_split(p_name, ' ')[1] ELSE upper(string_split(p_name, ' ')[i][1]) || string_split(p_name, ' ')[i][2:] END), ' ')"})
 _verb("case_mapping", *PART, lambda: {"up": s.str_to_upper("p_name"), "low": s.str_to_lower("p_type"), "title": s.str_to_title("p_name"), "sentence": s.str_to_sentence("p_name")},
       {"up": "upper(p_name)", "low": "lower(p_type)", "title": "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ')", "sentence": "upper(p_name[1]) || p_name[2:]"})
 _verb("case_identifiers", *CUST, lambda: {"snake": s.str_to_snake("c_name"), "kebab": s.str_to_kebab("c_name"), "camel": s.str_to_camel("c_name"), "pascal": s.str_to_camel("c_name", first_upper=True)},
@@ -230,9 +243,60 @@ def _sort_numeric(spark, sf_dir):
     return s.str_order(_table(spark, sf_dir, "nation"), "n_name", "n_nationkey", numeric=True, name="place").select("n_nationkey", "place")
 
 
-@_query("sort_rows", "SELECT p_partkey, p_type FROM part WHERE p_type IS NOT NULL")
+@_query("sort_rows", "SELECT n_name, row_number() OVER (ORDER BY n_regionkey % 3 DESC, n_name) AS place FROM nation WHERE n_nationkey <> 4")
 def _sort_rows(spark, sf_dir):
-    return s.str_sort(_table(spark, sf_dir, "part"), "p_type", "p_partkey", decreasing=True, na_last=None).select("p_partkey", "p_type")
+    """The order of the rows themselves, read off their positions; nation has 25 rows at every scale."""
+    names = F.element_at(F.array(F.lit("ab"), F.lit("\u00c1c"), F.lit("b")), (F.col("n_regionkey") % 3 + 1).cast("int"))
+    some = _table(spark, sf_dir, "nation").withColumn("k", F.when(F.col("n_nationkey") != 4, names))
+    rows = s.str_sort(some, "k", "n_name", decreasing=True, na_last=None).withColumn("at", F.monotonically_increasing_id())
+    return rows.select("n_name", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+
+
+@_query("na_options", "SELECT p_brand, string_agg(p_name, '+' ORDER BY p_partkey) FILTER (p_size % 7 > 0) AS dropped, string_agg(CASE WHEN p_size % 7 > 0 THEN p_name ELSE '' END, '+' ORDER BY p_partkey) AS emptied, CASE WHEN bool_or(p_size % 7 = 0) THEN NULL ELSE string_agg(p_name, '+' ORDER BY p_partkey) END AS strict_, string_agg(p_name || '/' || p_type, ';' ORDER BY p_partkey) FILTER (p_size % 7 > 0) AS joined FROM part GROUP BY p_brand")
+def _na_options(spark, sf_dir):
+    """What missing values become when texts are joined."""
+    some = F.when(F.col("p_size") % 7 > 0, F.col("p_name"))
+    flat = lambda c, sep, **options: s.str_flatten(c, sep, order_by="p_partkey", **options)
+    return _table(spark, sf_dir, "part").groupBy("p_brand").agg(
+        F.nullif(flat(some, "+", na_rm=True), F.lit("")).alias("dropped"),
+        flat(some, "+", na_empty=True).alias("emptied"),
+        flat(some, "+").alias("strict_"),
+        F.nullif(flat(s.str_c(some, F.col("p_type"), sep="/"), ";", na_rm=True), F.lit("")).alias("joined"),
+    )
+
+
+@_query("join_missing", "SELECT p_partkey, concat_ws('-', p_brand, CASE WHEN p_size > 25 THEN p_type END, 'x') AS skipped, CASE WHEN p_size > 25 THEN p_brand || '-' || p_type END AS strict_ FROM part")
+def _join_missing(spark, sf_dir):
+    some = F.when(F.col("p_size") > 25, F.col("p_type"))
+    return _table(spark, sf_dir, "part").select("p_partkey", s.str_c(F.col("p_brand"), some, "x", sep="-", ignore_null=True).alias("skipped"), s.str_c(F.col("p_brand"), some, sep="-").alias("strict_"))
+
+
+@_query("view_rows", "SELECT id, replace(p_name, 'ring', '<ring>') AS text FROM (SELECT p_name, row_number() OVER (ORDER BY p_partkey) AS id FROM part) WHERE contains(p_name, 'ring')")
+def _view_rows(spark, sf_dir):
+    return s.str_view(_table(spark, sf_dir, "part"), "p_name", s.fixed("ring"), order_by="p_partkey").rows
+
+
+@_query("read_lines", "SELECT (2 * r_regionkey + k)::BIGINT AS line_no, CASE WHEN k = 1 THEN r_name ELSE 'no. ' || r_regionkey END AS line FROM region, (VALUES (1), (2)) AS t(k)")
+def _read_lines(spark, sf_dir):
+    """The five regions as a text file of two lines each, by two kinds of terminators."""
+    lines = F.concat("r_name", F.lit("\u2028no. "), F.col("r_regionkey").cast("string"))
+    path = scratch_path(spark)
+    _table(spark, sf_dir, "region").orderBy("r_regionkey").select(lines).coalesce(1).write.text(path)
+    return s.str_read_lines(spark, path).select(F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@_query("read_raw", "SELECT sum(strlen(r_name) + 1)::BIGINT AS size FROM region")
+def _read_raw(spark, sf_dir):
+    path = scratch_path(spark)
+    _table(spark, sf_dir, "region").select("r_name").coalesce(1).write.text(path)
+    return s.read_raw(spark, path).agg(F.sum(F.octet_length("content")).cast("long").alias("size"))
+
+
+@_query("pattern_options", "SELECT 'bound' AS kind, 'word' AS type, true AS skip UNION ALL SELECT 'regex', NULL, NULL UNION ALL SELECT 'empty', NULL, NULL")
+def _pattern_options(spark, sf_dir):
+    """Dispatch tags and options, which exist when plans are built."""
+    rows = [(s.type_of(p), s.opts(p).get("type") if s.type_of(p) == "bound" else None, s.opts(p).get("skip_word_none") if s.type_of(p) == "bound" else None) for p in (s.boundary("word"), "a+", "")]
+    return spark.createDataFrame(rows, "kind string, type string, skip boolean")
 
 
 @_query("rank_text", 'SELECT c_custkey, rank() OVER (ORDER BY c_mktsegment) AS "rank" FROM customer')
@@ -253,8 +317,8 @@ def _duplicated(spark, sf_dir):
 # Encodings, escapes, view
 
 _verb("conv_bytes", *DOC, lambda: {"same": s.str_conv(F.encode("text", "UTF-8"), "UTF-8"), "size": F.octet_length(s.str_encode("text", "UTF-8"))}, {"same": "text", "size": "strlen(text)::INT"})
-_verb("escape_text", *PAGE, lambda: {"regex": s.str_escape("url"), "unicode": s.escape_unicode("url")}, {"regex": r"regexp_replace(url, '([.^$\\|*+?{}\[\]()])', '\\\1', 'g')", "unicode": "url"})
-_verb("nfc_text", *PART, lambda: {"out": s.trans_nfc("p_name")}, {"out": "nfc_normalize(p_name)"})
+_verb("escape_text", *PAGE, lambda: {"regex": s.str_escape("url"), "unicode": s.escape_unicode(F.replace(F.replace("url", F.lit("a"), F.lit("\u00e9")), F.lit("o"), F.lit("\U0001f60a")))}, {"regex": r"regexp_replace(url, '([.^$\\|*+?{}\[\]()])', '\\\1', 'g')", "unicode": r"replace(replace(url, 'a', '\u00e9'), 'o', '\U0001f60a')"})
+_verb("nfc_text", *DOC, lambda: {"out": s.trans_nfc(F.replace("text", F.lit("e"), F.lit("e\u0301")))}, {"out": "nfc_normalize(replace(text, 'e', 'e' || chr(769)))"})
 _verb("view_text", *PART, lambda: {"out": s.highlighted("p_name", "[aeiou]+"), "html": s.highlighted("p_name", s.fixed("ring"), html=True)}, {"out": r"regexp_replace(p_name, '[aeiou]+', '<\0>', 'g')", "html": "replace(p_name, 'ring', '<span class=''match''>ring</span>')"})
 
 

@@ -72,6 +72,10 @@ def test_case(check):
         (s.str_to_upper(L("i"), "tr"), "İ"),
         (s.str_to_lower(L("I"), "tr"), "ı"),
         (s.str_to_title(L("this is don't stop-here")), "This Is Don't Stop-Here"),
+        (s.str_to_title(L("ijs in ijmuiden, bij"), "nl"), "IJs In IJmuiden, Bij"),
+        (s.str_to_upper(L("μάιος ήλιος ή άυλος ρολόι"), "el"), "ΜΑΪΟΣ ΗΛΙΟΣ Ή ΑΫΛΟΣ ΡΟΛΟΪ"),
+        (s.str_to_upper(L("straße"), "el"), "STRASSE"),
+        (s.str_to_lower(L("ΟΔΟΣ"), "el"), "οδος"),
         (s.str_to_sentence(L("a Test")), "A test"),
         (s.str_to_sentence(L("the dog. THE CAT")), "The dog. The cat"),
         (s.str_to_camel(L("row_count")), "rowCount"),
