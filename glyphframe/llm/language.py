@@ -1,6 +1,6 @@
 """Language identification: sparse multinomial logistic regression on character n-grams.
 
-N-grams of one to three code points of the lower-cased text (anything but letters is a space) are
+N-grams of one to three code points of the lower-cased text (anything but letters and their marks is a space) are
 hashed into ``SIZE`` features and weighted by TF-IDF.  The classifier learns by follow-the-
 regularised-leader with elastic-net penalties and is calibrated by a temperature.
 
@@ -15,7 +15,9 @@ as they come.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +34,30 @@ UNKNOWN = "und"
 #: Characters that are counted at a time.
 PIECE = 1 << 20
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
-#: Code points under 128 that are no letters count as spaces.
-_ASCII = np.array([c if chr(c).isalpha() else 32 for c in range(128)], dtype=np.uint32)
+
+
+@cache
+def letters() -> np.ndarray:
+    """By code point: itself if it is a letter or a mark (of a letter), else a space."""
+    kept = (c if chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M" else 32 for c in range(0x110000))
+    return np.fromiter(kept, dtype=np.uint32, count=0x110000)
 
 
 def counts(text: str) -> np.ndarray:
-    """How often each hashed n-gram occurs."""
-    out = np.zeros(SIZE, dtype=np.int64)
+    """How often each hashed n-gram occurs; a text in pieces gives what it gives as a whole."""
+    out, before = np.zeros(SIZE, dtype=np.int64), np.zeros(0, dtype=np.uint32)
     for at in range(0, len(text), PIECE):
-        piece = text[max(0, at - 2) : at + PIECE].lower()
-        c = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        c = np.where(c < 128, _ASCII[np.minimum(c, 127)], c)
+        piece = text[at : at + PIECE].replace("\u03a3", "\u03c3").lower()  # a capital sigma alone depends on what follows
+        own = letters()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        c, new = np.concatenate([before, own]), len(before)
         one = c * _MIX[0]
         two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * _MIX[1] + one[1:]
         three = (two[:-1] ^ (two[:-1] >> np.uint32(15))) * _MIX[2] + one[2:]
-        for h in (one, two, three):
-            h ^= h >> np.uint32(16)
+        for size, h in enumerate((one, two, three)):
+            h = h[max(0, new - size) :]  # those that end in this piece
+            h = h ^ (h >> np.uint32(16))
             out += np.bincount((h * _MIX[1]) >> np.uint32(32 - BITS), minlength=SIZE)
+        before = c[-2:]
     return out
 
 
