@@ -1,12 +1,15 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs (lines) are scored by a sparse multinomial logistic regression on word 1- to 3-grams;
+Paragraphs are scored by a sparse multinomial logistic regression on word 1- to 3-grams;
 its classes are the licence families and ``unknown``.  It is trained on the driver with variations
 of the templates below and, for ``unknown``, with a bounded sample of corpus paragraphs and shuffled
 templates; a temperature calibrates it.  A paragraph is reported if a family's
 probability is at least ``LEAST_SCORE`` and at least ``LEAST_COVER`` of one of that family's templates is
 found in it.
 
+A paragraph is a line, or up to ``WRAP`` neighbouring lines, without an empty one between, that are no licence notice alone:
+a notice that is wrapped is one paragraph again.  Such runs are looked at where a line has a long word of a template.
+
 Features whose weights the penalties set to zero are dropped, so most paragraphs cost a
 look-up a word.
 
@@ -48,6 +51,10 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 VARIATIONS, UNKNOWN_ROWS = 40, 1500
 LEAST_SCORE, LEAST_COVER = 0.5, 0.6
+#: Lines that a wrapped notice may have, and letters of the words that tell where one may be (every template has one).
+WRAP, LONG_WORD = 6, 7
+#: Characters of the longest lines that the sample for the unknown class may have.
+SAMPLE_LINE = 2000
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
 
@@ -69,42 +76,72 @@ class Scanner:
         self.weights, self.bias, self.classes, self.temperature = weights, bias, classes, temperature
         self.unknown = classes.index(UNKNOWN)
         self.first = frozenset(w.split(" ", 1)[0] for w in weights)
+        self.anchors = frozenset(w for texts in TEMPLATES.values() for t in texts for w in words_of(t) if len(w) >= LONG_WORD)
+        self.nothing = self._of(bias)
         self.templates = {k: [frozenset(grams(words_of(t))) for t in v] for k, v in TEMPLATES.items()}
 
+    def _of(self, logits: np.ndarray) -> tuple[str, float]:
+        p = softmax(logits / self.temperature)
+        best = int(p.argmax())
+        return self.classes[best], float(p[best])
+
     def classify(self, words: list[str]) -> tuple[str, float]:
         """(family or unknown, calibrated probability) of a paragraph."""
         if self.first.isdisjoint(words):
-            return UNKNOWN, 1.0
+            return self.nothing
         found = [self.weights[g] for g in set(grams(words)) if g in self.weights]
         if not found:
-            return UNKNOWN, 1.0
+            return self.nothing
         logits = self.bias.copy()
         scale = 1 / np.sqrt(len(found))
         for pairs in found:
             for k, w in pairs:
                 logits[k] += w * scale
-        p = softmax(logits / self.temperature)
-        best = int(p.argmax())
-        return self.classes[best], float(p[best])
+        return self._of(logits)
 
     def confirmed(self, family: str, words: list[str]) -> float:
         """The greatest share of a template of the family that the paragraph has."""
         own = set(grams(words))
         return max(len(own & t) / len(t) for t in self.templates[family])
 
+    def licence(self, words: list[str]) -> tuple[str, float] | None:
+        """The family of a paragraph and its probability, if it is confirmed."""
+        family, p = self.classify(words)
+        return (family, p) if family != UNKNOWN and p >= LEAST_SCORE and self.confirmed(family, words) >= LEAST_COVER else None
+
+    def wrapped(self, lines: list[list[str]]) -> list[tuple[str, float, int]]:
+        """(family, probability, lines) of notices in a run of lines none of which is one alone."""
+        marks = [not self.anchors.isdisjoint(words) for words in lines]
+        out, i = [], 0
+        while i < len(lines):
+            step = 1
+            for n in range(2, min(WRAP, len(lines) - i) + 1):
+                found = self.licence(sum(lines[i : i + n], [])) if any(marks[i : i + n]) else None
+                if found:
+                    out.append((*found, n))
+                    step = n
+                    break
+            i += step
+        return out
+
     def scan(self, text: str | None) -> tuple[int, int, str, float]:
         """(paragraphs, licence paragraphs, families, greatest score) of a text."""
-        n, hits, families, most = 0, 0, set(), 0.0
-        for line in (text or "").split("\n"):
+        n, hits, run = 0, [], []
+        for line in [*(text or "").split("\n"), ""]:
             words = words_of(line)
-            if not words:
+            n += bool(words)
+            found = self.licence(words) if words else None
+            if words and not found:
+                run.append(words)
                 continue
-            n += 1
-            family, p = self.classify(words)
-            if family != UNKNOWN and p >= LEAST_SCORE and self.confirmed(family, words) >= LEAST_COVER:
-                hits, most = hits + 1, max(most, p)
-                families.add(family)
-        return n, hits, ",".join(sorted(families)), most
+            if len(run) > 1:
+                joined = self.wrapped(run)
+                n -= sum(size - 1 for _, _, size in joined)
+                hits += [(family, p) for family, p, _ in joined]
+            run = []
+            if found:
+                hits.append(found)
+        return n, len(hits), ",".join(sorted({f for f, _ in hits})), max((p for _, p in hits), default=0.0)
 
 
 def train(docs: DataFrame | None, *, text_col: str = "text", unknown_rows: int = UNKNOWN_ROWS, seed: int = 7) -> Scanner:
@@ -116,7 +153,7 @@ def train(docs: DataFrame | None, *, text_col: str = "text", unknown_rows: int =
         lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line"))
         # a threshold on a hash of the line: about four times as many as are wanted, copies once
         unit = F.xxhash64(F.lit("licence"), "line").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-        lines = lines.where((unit * n < 4.0 * unknown_rows) & (F.length("line") < 2000)).where("line rlike '[A-Za-z0-9]'").distinct()
+        lines = lines.where((unit * n < 4.0 * unknown_rows) & (F.length("line") < SAMPLE_LINE)).where("line rlike '[A-Za-z0-9]'").distinct()
         found = sorted((xxhash.xxh64_intdigest(x["line"]), x["line"]) for x in lines.collect())
         strange = [words_of(line) for _, line in found[:unknown_rows]]
     vocabulary = sorted({w for x in strange for w in x}) or ["word"]
