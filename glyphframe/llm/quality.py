@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphframe.llm.common import labelled_sample
 
@@ -188,14 +189,18 @@ def score(docs: DataFrame, model: Network | float, *, id_col: str = "doc_id", te
     return own.mapInArrow(scan, f"id {own.schema['id'].dataType.simpleString()}, score double")
 
 
-def accepted(docs: DataFrame, model: Network | float, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` with a score of ``least`` or more, with their own columns."""
-    from pyspark.sql.types import DoubleType
+def probability(model: Network | float, text: Column) -> Column:
+    """The score of a text as an expression, in Arrow batches."""
+    if isinstance(model, float):
+        return F.lit(model)
+
+    @F.arrow_udf(T.DoubleType())
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array((model.score(x.as_py() or b"") for x in texts), pa.float64())
 
-    @F.pandas_udf(DoubleType())
-    def scored(texts):
-        if isinstance(model, float):
-            return texts.map(lambda _: model).astype(float)
-        return texts.map(lambda t: model.score(bytes(t) if t is not None else b"")).astype(float)
+    return scored(text.cast("binary"))
 
-    return docs.where(scored(F.col(text_col).cast("binary")) >= least)
+
+def accepted(docs: DataFrame, model: Network | float, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` with a score of ``least`` or more, with their own columns."""
+    return docs.where(probability(model, F.col(text_col)) >= least)

@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -111,17 +110,19 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return own.mapInArrow(scan, f"id {id_type}, fp bigint")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def fuzzy_keys(fps: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def fuzzy_keys(fps: pa.Array) -> pa.Array:
     """Keys of fingerprints: a segment as it is, with each Golay index of the next segment."""
-    words = fps.to_numpy(dtype=np.int64).view(np.uint64)
+    words = fps.to_numpy(zero_copy_only=False).view(np.uint64)
     parts = [((words >> np.uint64(at)) & np.uint64((1 << size) - 1)).astype(np.int64) for at, size in SEGMENTS]
     keys = []
     for i, exact in enumerate(parts):
         index = golay.indices(parts[(i + 1) % 3])
         head = (i << 22 | exact)[:, None] << 12
         keys.append(np.where(index >= 0, head | index, -1))
-    return pd.Series([row[row >= 0] for row in np.concatenate(keys, axis=1)])
+    table = np.concatenate(keys, axis=1)
+    offsets = np.concatenate([[0], np.cumsum((table >= 0).sum(axis=1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(table[table >= 0]))
 
 
 def links(fps: DataFrame) -> DataFrame:
