@@ -2,7 +2,8 @@
 
 Each source gets a target of words.  Whole epochs of the source come first; the rest of the
 target is filled by weighted sampling without replacement: every record draws an
-exponential key scaled by its quality weight, records are sorted by key within the source,
+exponential key scaled by its quality weight (``weight``, any column; the query and the pipeline give the quality
+classifier's score), records are sorted by key within the source,
 and sizes are prefix-summed up to the budget.  The record on the budget's end gives way to
 the one, among those left, whose size is nearest to what is missing.
 
@@ -44,8 +45,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def quality_weight(text: Column) -> Column:
-    """Between 0.05 and 1: the share of a text that is neither a symbol nor a digit nor upper case."""
+def plain_share(text: Column) -> Column:
+    """Where no weight is given: the share of a text that is neither a symbol nor a digit nor upper case, 0.05 at least."""
     odd = F.regexp_count(text, F.lit(r"[A-Z0-9#*$%&|<>{}=_\\]")).cast("double")
     return F.coalesce(F.greatest(F.lit(0.05), 1.0 - odd / F.greatest(F.length(text), F.lit(1))), F.lit(0.05))
 
@@ -87,7 +88,7 @@ def drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight:
     """
     text = F.col(text_col)
     bits = F.xxhash64(F.lit(seed), F.col(id_col), text).bitwiseAND(F.lit((1 << 52) - 1))
-    w = quality_weight(text) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9))
+    w = plain_share(text) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-6))
     steps = F.log2("__key") * BINS_PER_OCTAVE
     return (
         docs.withColumn("__source", F.col(source_col).cast("string"))

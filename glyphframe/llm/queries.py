@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphframe.llm import decontaminate, language, licence, lines, mixing, quality, rules, sharding, simhash, suffixes
@@ -17,6 +17,12 @@ def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id"))).select("doc_id", "quality")
 
 
+def quality_weight(spark: SparkSession, sf_dir: str) -> Column:
+    """The classifier's score of a document's text, for draws by quality."""
+    model = quality.train(table(spark, sf_dir, "documents"), quality_labels(spark, sf_dir))
+    return quality.probability(model, F.col("text"))
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -47,8 +53,9 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document."""
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """Words that the mix takes of each document; the classifier's score is the weight in the draw."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, weight=quality_weight(spark, sf_dir))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
