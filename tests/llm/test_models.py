@@ -1,7 +1,9 @@
 """Trained operators, near-duplicate groups and the pipeline."""
 
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -74,6 +76,34 @@ def test_quality_gradients():
         assert abs((up - down) / (2 * step) - g[k]) < 0.1 * abs(g[k]) + 1e-3
 
 
+def slow_score(n, data):
+    """The network as plain convolutions over overlapping chunks."""
+    steps = max(2, -(-len(data) // quality.STEP))
+    padded = data + b"\0" * (steps * quality.STEP + quality.WIDTH - len(data))
+    features = []
+    for at in range(0, (steps - 1) * quality.STEP, quality.STEP):
+        windows = [padded[i : i + quality.WIDTH] for i in range(at, at + quality.CHUNK)]
+        z = [sum(n.w["embed"][b] @ n.w["filter"][j] for j, b in enumerate(w)) for w in windows]
+        chunk = np.maximum(np.max(z, axis=0) + n.w["bias"], 0)
+        features.append(np.maximum(chunk @ n.w["hidden"] + n.w["hidden_bias"], 0))
+    logit = np.max(features, axis=0) @ n.w["out"] + n.w["out_bias"][0] + n.prior
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_quality_scores_against_brute_force(spark, monkeypatch):
+    n = quality.Network.start(5)
+    n.prior = 0.3
+    texts = ["", "a", "short text", "x" * 255, "y" * 256, "z" * 257, "Über öl " * 90, "tab\tline\n" * 40]
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    for piece in (64, 1):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert all(abs(n.score(t.encode()) - slow_score(n, t.encode())) < 1e-5 for t in texts)
+    got = {r["id"]: r["score"] for r in quality.score(docs, n).collect()}
+    assert all(abs(got[i] - slow_score(n, t.encode())) < 1e-5 for i, t in enumerate(texts)) and got[8] == got[0]
+    by_column = docs.select("doc_id", quality.probability(n, F.col("text")).alias("p")).collect()
+    assert {r["doc_id"]: r["p"] for r in by_column} == got
+
+
 def slow_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
@@ -148,10 +178,45 @@ def test_language(spark):
     assert language.train(docs.where("lang = 'aa'")).predict("kaki") == ("aa", 1.0)
 
 
+def slow_grams(text):
+    """Hashed n-grams, one at a time."""
+    mask, mix = (1 << 32) - 1, [int(x) for x in language._MIX]
+    c = [ord(x) if x.isalpha() or unicodedata.category(x)[0] == "M" else 32 for x in "".join(y.replace("\u03a3", "\u03c3").lower() for y in text)]
+    out = Counter()
+    for i in range(len(c)):
+        h = c[i] * mix[0] & mask
+        grams = [h]
+        for k, m in ((1, mix[1]), (2, mix[2])):
+            if i + k < len(c):
+                h = ((h ^ h >> 15) * m + c[i + k] * mix[0]) & mask
+                grams.append(h)
+        out.update(((g ^ g >> 16) * mix[1] & mask) >> (32 - language.BITS) for g in grams)
+    return out
+
+
 def test_pieces_count_as_the_whole(monkeypatch):
-    whole = language.counts("Héllo wörld, " * 20)
-    monkeypatch.setattr(language, "PIECE", 50)
-    assert language.counts("Héllo wörld, " * 20).sum() >= whole.sum()
+    for text in ("Héllo wörld, " * 20, "", "a", "ΟΔΟΣ. İstanbul «9» e\u0301—x " * 9, "ab"):
+        want = slow_grams(text)
+        for piece in (1 << 20, 50, 3, 1):
+            monkeypatch.setattr(language, "PIECE", piece)
+            got = language.counts(text)
+            assert {i: int(got[i]) for i in np.flatnonzero(got)} == want, (text[:20], piece)
+
+
+def test_language_against_brute_force(spark):
+    """Scores from the counts by loops over the features."""
+    rows = [(i, ("der und die " if i % 2 else "the and of ") * (1 + i % 5) + f"x{i}", "de" if i % 2 else "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    got = {x["id"]: x for x in language.identify(docs, model).collect()}
+    for i, text, _ in rows:
+        tfidf = {k: (1 + math.log(n)) * model.idf[k] for k, n in slow_grams(text).items()}
+        norm = math.sqrt(sum(v * v for v in tfidf.values()))
+        logits = [sum(v / norm * model.weights[k, j] for k, v in tfidf.items()) / model.temperature for j in range(2)]
+        top = max(logits)
+        p = [math.exp(x - top) for x in logits]
+        best = p.index(max(p))
+        assert got[i]["lang_pred"] == model.classes[best] and abs(got[i]["score"] - p[best] / sum(p)) < 1e-9
 
 
 def test_temperature_and_penalty():
@@ -189,6 +254,46 @@ def test_licences(spark):
     assert licence.scan(docs.where("false"), licence.train(docs.where("false"))).count() == 0
 
 
+def test_wrapped_and_long_licences(spark):
+    scanner = licence.train(None)
+    isc = "Permission to use, copy, modify, and/or distribute this\nsoftware for any\npurpose with or without fee is hereby granted"
+    assert scanner.scan(isc)[:3] == (1, 1, "isc")
+    assert scanner.scan(isc.replace("\n", "\n\n"))[1] == 0
+    assert scanner.scan(f"some words\nhere {isc}\nand more\n\nAll rights reserved.")[1:3] == (2, "all-rights-reserved,isc")
+    assert scanner.scan("Released under\nthe MIT\nLicense\nReleased under the Apache License 2.0")[2] == "apache,mit"
+    assert scanner.scan("plain words " * 50_000 + "\nReleased under the MIT License")[:3] == (2, 1, "mit")
+    assert scanner.scan("the license of the public terms\nis a general matter\nof permission")[1] == 0
+    family, p = scanner.classify(["nothing", "like", "it"])
+    assert family == licence.UNKNOWN and 0 < p < 1
+    assert all(any(len(w) >= licence.LONG_WORD for w in licence.words_of(t)) for v in licence.TEMPLATES.values() for t in v)
+    rows = [(1, isc), (1, isc), (2, None)]
+    got = licence.scan(spark.createDataFrame(rows, "doc_id long, text string"), scanner).collect()
+    assert sorted((x["id"], x["n_licence"]) for x in got) == [(1, 1), (1, 1), (2, 0)]
+
+
+def test_licence_scores_against_brute_force():
+    """Probabilities from all n-grams by loops, and cover by counting."""
+    scanner = licence.train(None)
+    for text in ("Released under the MIT License", "licensed under the GNU Lesser General Public License, version 2.1 or so", "All wrongs reserved"):
+        words = licence.words_of(text)
+        grams = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+        found = [scanner.weights[g] for g in grams if g in scanner.weights]
+        logits = list(scanner.bias)
+        for pairs in found:
+            for k, w in pairs:
+                logits[k] += w / math.sqrt(len(found))
+        e = [math.exp(x / scanner.temperature) for x in logits]
+        family, p = scanner.classify(words)
+        assert scanner.classes[e.index(max(e))] == family and abs(max(e) / sum(e) - p) < 1e-9
+        if family != licence.UNKNOWN:
+            best = 0.0
+            for t in licence.TEMPLATES[family]:
+                own = licence.words_of(t)
+                all_ = {" ".join(own[i : i + n]) for n in (1, 2, 3) for i in range(len(own) - n + 1)}
+                best = max(best, len(all_ & grams) / len(all_))
+            assert abs(scanner.confirmed(family, words) - best) < 1e-12
+
+
 def similarity(a, b):
     sets = []
     for t in (a, b):
