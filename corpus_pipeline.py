@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glyphframe.llm import decontaminate, mixing, quality, sharding, similar
 from glyphframe.llm.common import checkpoint_dir, table
-from glyphframe.llm.queries import quality_labels
+from glyphframe.llm.queries import quality_labels, quality_weight
 
 N_SHARDS = 40
 
@@ -29,13 +29,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages to speak of."""
+    """Documents without benchmark passages: one whole window is enough to drop a document."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
-    return mixing.mixed_rows(docs)
+    """Documents as often as the mixture takes them, drawn by the quality classifier's score."""
+    return mixing.mixed_rows(docs, weight=quality_weight(spark, sf_dir))
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
