@@ -45,14 +45,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table at ``path``.  What was shuffled for it is not needed again and is removed at once.
+
+    Spark would remove it when its driver next collects garbage.  Shuffles are told by their numbers; while other jobs of the
+    application run, whose numbers lie among these, they are left to Spark.
+    """
+    spark = df.sparkSession
+    context, tracker = spark.sparkContext._jsc.sc(), spark.sparkContext.statusTracker()
+    alone, first = not tracker.getActiveJobsIds(), context.newShuffleId()
+    df.write.option("compression", "zstd").parquet(path)
+    cleaner = context.cleaner()
+    if alone and not tracker.getActiveJobsIds() and cleaner.isDefined():
+        for shuffle in range(first, context.newShuffleId()):
+            cleaner.get().doCleanupShuffle(shuffle, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a written table, without lineage.
 
     Unlike a checkpoint, which computes its last stage twice, this computes it once, and columns are compressed.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}")
 
 
 class Scratch:
@@ -63,8 +78,7 @@ class Scratch:
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as a table and read again."""
-        df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+        return _written(df, f"{self.base}/{name}")
 
     def discard(self, *names: str) -> None:
         for name in names:
