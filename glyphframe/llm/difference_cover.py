@@ -6,6 +6,8 @@ remaining suffixes are sorted by their first symbol and the rank of the next suf
 (symbol, rank of the next), against places 2 by (symbol, symbol, rank of the one after).  All sorts are range
 partitions; ranks are positions, computed without gathering rows in one task.
 
+``repeated_starts`` then compares the prefixes of neighbours in that order: where they are equal, all but the earliest start repeat.
+
 A sequence of at most ``SMALL`` symbols is sorted on the driver: that is the recursion's end.
 
 ``op7_suffixes`` does not use it on whole tables, for its cost (see the README).  Neither symbols nor places may be null; symbols
@@ -81,3 +83,35 @@ def suffix_places(text: DataFrame) -> DataFrame:
         part = side.where(F.col("m") == m).select("pos", "p").join(own.select("pos", "q", "r0"), "pos")
         merged = merged.unionByName(part.select("pos", (F.col("r0") + F.col("p") - F.col("q")).alias("place")))
     return cut(merged)
+
+
+def prefixes(text: DataFrame, length: int, block: int = 4096) -> DataFrame:
+    """(pos, prefix): the ``length`` symbols from each place on, of places that have so many; read in blocks that overlap by one block."""
+    if length > block:
+        raise ValueError("a prefix must fit into a block.")
+    at = F.floor(F.col("pos") / block)
+    symbols = F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"])
+    blocks = cut(text.groupBy(at.alias("b")).agg(symbols.alias("own")))
+    after = blocks.select((F.col("b") - 1).alias("b"), F.col("own").alias("after"))
+    both = blocks.join(after, "b", "left").select("b", F.size("own").alias("n"), F.concat("own", F.coalesce("after", F.array().cast("array<long>"))).alias("all"))
+    rows = both.select("b", "all", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).where(F.col("i") + length <= F.size("all"))
+    return rows.select((F.col("b") * block + F.col("i")).alias("pos"), F.slice("all", F.col("i") + 1, length).alias("prefix"))
+
+
+def repeated_starts(text: DataFrame, length: int) -> DataFrame:
+    """(pos): places from (pos, c) whose next ``length`` symbols also start at a smaller place.
+
+    Neighbours in suffix order are compared; a run of equal prefixes begins where one differs from its neighbour before.
+    """
+    places = cut(suffix_places(text).join(prefixes(text, length), "pos"))
+    before = places.select((F.col("place") + 1).alias("place"), F.col("prefix").alias("last"))
+    # suffixes too short for a prefix may lie between, but never between two equal prefixes
+    marked = places.join(before, "place", "left").select("pos", "place", F.when(F.col("last").isNull() | (F.col("last") != F.col("prefix")), F.col("place")).alias("start"))
+    part = F.floor(F.col("place") / 100_000)
+    marked = cut(marked.withColumn("part", part))
+    firsts = marked.groupBy("part").agg(F.max("start").alias("most"))
+    carried = firsts.select(F.col("part").alias("p"), F.max("most").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("carry"))
+    upto = W.partitionBy("part").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    runs = marked.join(F.broadcast(carried), F.col("part") == F.col("p")).withColumn("run", F.coalesce(F.max("start").over(upto), F.col("carry")))
+    earliest = runs.groupBy(F.col("run").alias("r")).agg(F.min("pos").alias("first"))
+    return runs.join(earliest, F.col("run") == F.col("r")).where("pos > first").select("pos")

@@ -6,7 +6,8 @@ smaller id, or in the same document further to the front.
 A suffix array over all bytes, built by a distributed difference cover, first sorts two
 thirds of all suffixes as triples: 16 bytes for a row of which there are 0.67 for a byte of text.
 The README has what that takes; it is several times the disk that the whole operator may
-use.  So the suffixes that are sorted are chosen by content instead of by place:
+use.  So another method is used, which keeps no order of suffixes: strings are brought together by content and
+told apart by hashes that are compared byte by byte.
 
 * Every string of ``LENGTH`` bytes has an anchor, the run of ``K`` bytes in it with the least hash
   (leftmost first).  Equal strings have equal anchors, so they meet in one class.  Neighbouring
@@ -15,11 +16,11 @@ use.  So the suffixes that are sorted are chosen by content instead of by place:
   and places is shuffled for that.
 * For the other anchors the bytes around them, which hold all their strings, are brought
   together; equal surroundings are merged before the shuffle, keeping the earliest place.
-* In each class all prefixes of ``LENGTH`` bytes are sorted, and neighbours are compared byte by byte.
-  The first of equal ones is the earliest; the others are repeats.
+* In each class all strings of ``LENGTH`` bytes are put in the order of a 64-bit hash and their place; neighbours of equal hash
+  are compared byte by byte.  The first of equal ones is the earliest; the others are repeats.
 
-Classes of more than ``CLASS_ROWS`` different surroundings (a frequent phrase) are not brought into
-one task: their strings are aggregated by a hash of 128 bits to the earliest place.
+Classes of more than ``CLASS_ROWS`` different surroundings or ``CLASS_BYTES`` (a frequent phrase, or text that repeats itself) are not
+brought into one task: their strings are aggregated by a hash of 128 bits to the earliest place.
 
 Edge cases: a null or empty text has no bytes.  Rows of one id are one document: of rows with
 different texts the starts are compared, and equal rows repeat nothing of each other.  A null
@@ -37,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphframe.llm.common import Scratch
+from glyphframe.llm.common import Scratch, sliced
 
 LENGTH, K = 100, 16
 GRAMS = LENGTH - K + 1
@@ -45,6 +46,8 @@ GRAMS = LENGTH - K + 1
 PIECE = 1 << 18
 #: Different surroundings of an anchor that one task may get.
 CLASS_ROWS = 20_000
+#: Bytes of surroundings of an anchor that one task may get.
+CLASS_BYTES = 1 << 25
 #: Bytes of surroundings that are sorted at a time.
 CHUNK = 1 << 21
 BROADCAST_ROWS = 100_000
@@ -253,19 +256,34 @@ def _first_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All strings of surroundings, by a hash of 128 bits."""
-    for batch in batches:
-        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-        for at in range(0, len(rows), 2000):
-            part = rows[at : at + 2000]
-            buffer = np.frombuffer(b"".join(r[4] for r in part), dtype=np.uint8)
-            place, which, inside = starts_of(np.array([len(r[4]) for r in part], dtype=np.int64))
-            words = eights(buffer)
-            ids, marks, starts = (np.array([r[i] for r in part], dtype=np.int64) for i in (1, 2, 3))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(prefix_hashes(words, place, s).view(np.int64)) for s in (1, 2)] + [pa.array(ids[which]), pa.array(marks[which].astype(np.int32)), pa.array((starts[which] + inside).astype(np.int32))],
-                names=["g1", "g2", "id", "mark", "start"],
-            )
+    """All strings of surroundings, by a hash of 128 bits; long surroundings in pieces."""
+
+    def pieces() -> Iterator[tuple]:
+        for batch in sliced(batches):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                for off in range(0, len(row[4]) - LENGTH + 1, PIECE):
+                    yield (*row[:3], row[3] + off, row[4][off : off + PIECE + LENGTH - 1])
+
+    def parts() -> Iterator[list[tuple]]:
+        held, size = [], 0
+        for piece in pieces():
+            held.append(piece)
+            size += len(piece[4])
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    for part in parts():
+        buffer = np.frombuffer(b"".join(r[4] for r in part), dtype=np.uint8)
+        place, which, inside = starts_of(np.array([len(r[4]) for r in part], dtype=np.int64))
+        words = eights(buffer)
+        ids, marks, starts = (np.array([r[i] for r in part], dtype=np.int64) for i in (1, 2, 3))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(prefix_hashes(words, place, s).view(np.int64)) for s in (1, 2)] + [pa.array(ids[which]), pa.array(marks[which].astype(np.int32)), pa.array((starts[which] + inside).astype(np.int32))],
+            names=["g1", "g2", "id", "mark", "start"],
+        )
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +321,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     place = F.min(F.struct("id", "start", "mark")).alias("p")
     different = around.groupBy("h", "around").agg(place).select("h", F.col("p.id").alias("id"), F.col("p.mark").alias("mark"), F.col("p.start").alias("start"), "around")
     different = scratch.stored(different, "different")
-    heavy = scratch.stored(different.groupBy(F.col("h").alias("hh")).agg(F.count("*").alias("c")).where(F.col("c") > CLASS_ROWS).select("hh"), "heavy")
+    heavy = scratch.stored(different.groupBy(F.col("h").alias("hh")).agg(F.count("*").alias("c"), F.sum(F.octet_length("around")).alias("b")).where((F.col("c") > CLASS_ROWS) | (F.col("b") > CLASS_BYTES)).select("hh"), "heavy")
     n_heavy = heavy.count()
     marked = F.broadcast(heavy) if n_heavy <= BROADCAST_ROWS else heavy
     on = F.col("h") == F.col("hh")

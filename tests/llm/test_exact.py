@@ -342,9 +342,10 @@ def slow_repeats(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("rows", "piece"), [(20_000, 1 << 18), (1, 300)])
-def test_repeats(spark, monkeypatch, rows, piece):
+@pytest.mark.parametrize(("rows", "size", "piece"), [(20_000, 1 << 25, 1 << 18), (1, 1 << 25, 300), (20_000, 200, 150)])
+def test_repeats(spark, monkeypatch, rows, size, piece):
     monkeypatch.setattr(suffixes, "CLASS_ROWS", rows)
+    monkeypatch.setattr(suffixes, "CLASS_BYTES", size)
     monkeypatch.setattr(suffixes, "PIECE", piece)
     monkeypatch.setattr(suffixes, "CHUNK", 2000)
     r = random.Random(9)
@@ -365,3 +366,13 @@ def test_suffix_array(spark, monkeypatch, text):
     order = sorted(range(len(text)), key=lambda i: text[i:])
     assert got == {i: k for k, i in enumerate(order, 1)}
     assert difference_cover.suffix_places(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("text", "length"), [("banana" * 5, 4), ("abcabcabd" + "mississippi" * 3, 5), ("aaaaaaaaaaaaaaaa", 3), ("zyxwvutsrqponm", 2), ("abcd" * 3 + "bcd", 3)])
+def test_neighbours_in_suffix_order(spark, monkeypatch, text, length):
+    monkeypatch.setattr(difference_cover, "SMALL", 9)
+    df = spark.createDataFrame([(i, ord(c)) for i, c in enumerate(text)], "pos long, c long")
+    got = {r["pos"] for r in difference_cover.repeated_starts(df, length).collect()}
+    assert got == {i for i in range(len(text) - length + 1) if text.find(text[i : i + length]) < i}
+    blocks = {r["pos"]: "".join(map(chr, r["prefix"])) for r in difference_cover.prefixes(df, length, 7).collect()}
+    assert blocks == {i: text[i : i + length] for i in range(len(text) - length + 1)}
