@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +35,17 @@ PIECE = 1 << 20
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
-@cache
+#: A bit for each code point: whether it is a letter or a mark (of a letter).  It travels with the functions to executors.
+_KEPT = np.packbits([chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)])
+_letters: list[np.ndarray] = []
+
+
 def letters() -> np.ndarray:
-    """By code point: itself if it is a letter or a mark (of a letter), else a space."""
-    kept = (c if chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M" else 32 for c in range(0x110000))
-    return np.fromiter(kept, dtype=np.uint32, count=0x110000)
+    """By code point: itself if it is a letter or a mark, else a space."""
+    if not _letters:
+        every = np.arange(0x110000, dtype=np.uint32)
+        _letters.append(np.where(np.unpackbits(_KEPT)[: len(every)] == 1, every, np.uint32(32)))
+    return _letters[0]
 
 
 def counts(text: str) -> np.ndarray:
