@@ -7,7 +7,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
-from functools import cache
 
 import pandas as pd
 import regex as _re  # has Unicode properties and grapheme clusters
@@ -286,9 +285,18 @@ _ZERO = frozenset({"Me", "Mn", "Cf", "Cc"})
 JOINABLE = frozenset(map(ord, "\u2620\u2640\u2642\u2695\u2696\u26a7\u2708\u2744\u2764\U0001f32b\U0001f5e8"))
 
 
-@cache
+_widths: dict[str, int] = {}
+_joining: dict[str, bool] = {}
+
+
 def char_width(c: str) -> int:
     """Columns that a character takes in a terminal, on its own."""
+    if c not in _widths:
+        _widths[c] = _char_width(c)
+    return _widths[c]
+
+
+def _char_width(c: str) -> int:
     o = ord(c)
     if o == 0xAD:
         return 1
@@ -303,10 +311,11 @@ def char_width(c: str) -> int:
     return 1
 
 
-@cache
 def joins(c: str) -> bool:
     """Whether a character after a joiner belongs to the emoji before it."""
-    return ord(c) in JOINABLE or bool(_re.match(r"[\p{Emoji_Modifier}\p{Emoji_Presentation}]", c))
+    if c not in _joining:
+        _joining[c] = ord(c) in JOINABLE or bool(_re.match(r"[\p{Emoji_Modifier}\p{Emoji_Presentation}]", c))
+    return _joining[c]
 
 
 def width(text: str) -> int:
