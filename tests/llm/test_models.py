@@ -414,6 +414,7 @@ def test_pipeline(spark, tmp_path, labelled):
 def test_stages_take_any_rows(spark, tmp_path, labelled):
     docs, marks, rows, truth = labelled
     marks.unionByName(spark.createDataFrame([(None, 1), (3, None), (3, 0)], "doc_id long, quality int")).write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))  # the mixture's weights come from a classifier of all documents
     spark.createDataFrame([(1, "some words"), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     odd = [(None, None, None, None), (1000, None, "en", "s"), (1001, "", None, None), (1002, "long words " * 30_000, "en", "s"), (1003, "a b c", "en", "s"), (1003, "a b c", "en", "s"), (None, "x y", "en", None)]
     odd = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string")
