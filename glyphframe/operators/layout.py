@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from glyphframe.functions import kernels
 from glyphframe.functions.patterns import text, value
 
-ASCII = r"^[\x00-\x7F]*$"
+#: ASCII and Latin letters with accents, which are one column each (controls none).
+NARROW = r"^[\x00-\x7F\u00C0-\u024F]*\z"
 SPACES = r"\p{IsWhite_Space}"
 SIDES = ("left", "right", "both")
 
@@ -25,16 +26,13 @@ def str_length(string) -> Column:
     return F.length(text(string))
 
 
-def is_ascii(s: Column) -> Column:
-    return F.octet_length(s) == F.length(s)
-
-
 def str_width(string) -> Column:
-    """Columns in a terminal; ASCII text never leaves the JVM."""
+    """Columns in a terminal; ASCII and Latin letters never leave the JVM."""
     s = text(string)
-    # a kernel gets null instead of ASCII text
-    wide = kernels.mapped(T.IntegerType(), kernels.width, F.when(~is_ascii(s), s))
-    return F.when(is_ascii(s), F.length(F.regexp_replace(s, r"[\x00-\x1F\x7F]", ""))).otherwise(wide)
+    # a kernel gets null instead of text that has none but letters of one column
+    narrow = F.rlike(s, F.lit(NARROW))
+    wide = kernels.mapped(T.IntegerType(), kernels.width, F.when(~narrow, s))
+    return F.when(narrow, F.length(F.regexp_replace(s, r"[\x00-\x1F\x7F]", ""))).otherwise(wide)
 
 
 def str_pad(string, width: int | Column, side: str = "left", pad: str | Column = " ", use_width: bool = True) -> Column:
