@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphframe.functions.boundaries import greek_sentences, line_breaks, sentences, words
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 STRINGS = T.ArrayType(T.StringType())
@@ -109,168 +110,11 @@ def replace_batch(texts: pd.Series, pattern: str, fn: Callable[[pd.Series], pd.S
 # Boundaries
 
 
-def _kind(c: str) -> str:
-    """A rough class of a character for word boundaries."""
-    cat = unicodedata.category(c)
-    if c in "\u200d\u200c\ufe0f" or cat in ("Mn", "Me", "Mc", "Cf"):
-        return "extend"
-    o = ord(c)
-    if 0x3040 <= o <= 0x309F or 0x3400 <= o <= 0x4DBF or 0x4E00 <= o <= 0x9FFF or 0xF900 <= o <= 0xFAFF or 0x20000 <= o <= 0x3FFFF:
-        return "ideo"
-    if 0x30A0 <= o <= 0x30FF or 0xFF66 <= o <= 0xFF9D:
-        return "kana"
-    if cat == "Nd":
-        return "digit"
-    if cat[0] == "L" or cat == "Nl":
-        return "letter"
-    if cat == "Pc":
-        return "join"
-    if c in "'\u2019.\u2018\u2024\uff07\uff0e":
-        return "midnumlet"
-    if c in ":\u00b7\u0387\u05f4\u2027\ufe13\ufe55\uff1a":
-        return "midletter"
-    if c in ",;\u037e\u0589\u060c\u060d\u066c\u07f8\u2044\ufe10\ufe14":
-        return "midnum"
-    return "space" if c == " " or cat == "Zs" and c not in "\u00a0\u2007\u202f" else "other"
-
-
-def words(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, class) of all segments between word boundaries; they cover the text."""
-    kinds = [_kind(c) for c in text]
-    n, out, i = len(text), [], 0
-
-    def skip(j: int) -> int:
-        while j < n and kinds[j] == "extend":
-            j += 1
-        return j
-
-    while i < n:
-        c, k = text[i], kinds[i]
-        if c == "\r" and text[i + 1 : i + 2] == "\n":
-            out.append((i, i + 2, "none"))
-            i += 2
-            continue
-        if c in "\r\n\x0b\x0c\x85\u2028\u2029":
-            out.append((i, i + 1, "none"))
-            i += 1
-            continue
-        j = i + 1
-        if k in ("letter", "digit", "join", "kana"):
-            label = k
-            while True:
-                j = skip(j)
-                if j >= n:
-                    break
-                now = kinds[j]
-                last = next((x for x in reversed(kinds[i:j]) if x != "extend"), k)
-                if now in ("letter", "digit", "join") and last in ("letter", "digit", "join") or now == "kana" and last in ("kana", "join") or now == "join" and last == "kana":
-                    label = "letter" if "letter" in (now, label) else label if label != "join" else now
-                    j += 1
-                    continue
-                after = skip(j + 1)
-                ahead = kinds[after] if after < n else ""
-                if now in ("midletter", "midnumlet") and last == ahead == "letter" or now in ("midnum", "midnumlet") and last == ahead == "digit":
-                    j = after + 1
-                    continue
-                break
-            out.append((i, j, "none" if label == "join" else "number" if label == "digit" else label))
-        elif k == "space":
-            while j < n and kinds[j] == "space":
-                j += 1
-            out.append((i, skip(j), "none"))
-            j = skip(j)
-        else:
-            j = skip(j)
-            while j < n and text[j - 1] == "\u200d" and kinds[j] == "other":
-                j = skip(j + 1)
-            if 0x1F1E6 <= ord(c) <= 0x1F1FF and j < n and 0x1F1E6 <= ord(text[j]) <= 0x1F1FF:
-                j = skip(j + 1)
-            out.append((i, j, "ideo" if k == "ideo" else "none"))
-        i = j
-    return out
-
-
-_CLOSE = "\"')]}\u2019\u201d\u00bb"
-
-
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, "term" or "sep") of sentences; they cover the text."""
-    n, out, start, i = len(text), [], 0, 0
-    while i < n:
-        c = text[i]
-        if c in "\n\r\x85\u2028\u2029":
-            i += 2 if c == "\r" and text[i + 1 : i + 2] == "\n" else 1
-            out.append((start, i, "sep"))
-            start = i
-            continue
-        if c not in ".\u2024!?\u3002\uff01\uff1f\u203d\u2026":
-            i += 1
-            continue
-        j, last = i, c
-        while j < n and text[j] in ".\u2024!?\u3002\uff01\uff1f":
-            last = text[j]
-            j += 1
-        if j == i:
-            i += 1
-            continue
-        only_dots = last in ".\u2024"
-        k = j
-        while k < n and text[k] in _CLOSE:
-            k += 1
-        m = k
-        while m < n and (text[m] in " \t\xa0" or unicodedata.category(text[m]) == "Zs"):
-            m += 1
-        if m < n and text[m] in ",;:-" and m == k:
-            i = j
-            continue
-        if only_dots and m < n:
-            if m == j and (text[j].isdigit() or i and text[i - 1].isalpha() and text[j].isupper()):
-                i = j
-                continue
-            ahead = next((x for x in text[m:] if x.isalpha() or x in "\n\r.!?"), "")
-            if ahead.islower() or text[m] in ",;:-":
-                i = j
-                continue
-        if m < n and text[m] in "\n\r\x85\u2028\u2029":
-            m += 2 if text[m : m + 2] == "\r\n" else 1
-        out.append((start, m, "term"))
-        start = i = m
-    if start < n:
-        out.append((start, n, "sep"))
-    return out
-
-
-def line_breaks(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, "soft" or "hard") of pieces between possible line breaks."""
-    n, out, start = len(text), [], 0
-    for i in range(1, n):
-        a, b = text[i - 1], text[i]
-        if a in "\n\x0b\x0c\x85\u2028\u2029" or a == "\r" and b != "\n":
-            out.append((start, i, "hard"))
-            start = i
-            continue
-        soft = False
-        if a in " \u200b" and b not in " \u200b\n\r":
-            soft = b not in ")]}!?/,.;:"
-        elif a in "-\u2010\u2013\u00ad" and b.isalpha() and i > 1 and text[i - 2].isalnum():
-            soft = True
-        elif a == "/" and b.isalpha() or a in "\u2014" and b not in " \n":
-            soft = True
-        elif "ideo" in (_kind(a), _kind(b)) and b not in " \n\r,.!?;:)]}\u3001\u3002\uff0c\uff01\uff1f" and a not in "([{\u300c\xa0" and b != "\xa0":
-            soft = _kind(b) != "extend"
-        if soft:
-            out.append((start, i, "soft"))
-            start = i
-    if start < n:
-        out.append((start, n, "hard" if text[-1] in "\n\r\x0b\x0c\x85\u2028\u2029" else "soft"))
-    return out
-
-
 def characters(text: str) -> list[tuple[int, int, str]]:
     return [(*m.span(), "") for m in _re.finditer(r"\X", text)]
 
 
-SEGMENTERS = {"character": characters, "word": words, "sentence": sentences, "line_break": line_breaks}
+SEGMENTERS = {"character": characters, "word": words, "sentence": sentences, "sentence_el": greek_sentences, "line_break": line_breaks}
 
 
 def segments(text: str, kind: str, skipped: frozenset[str]) -> list[tuple[int, int]]:

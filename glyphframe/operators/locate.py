@@ -38,20 +38,26 @@ def skipped(p: Pattern) -> frozenset[str]:
     return frozenset(label for option, label in names.items() if p.get(option))
 
 
+def segmenter(p: Pattern) -> str:
+    """Which kernel finds the boundaries; of the locales only Greek has sentences of its own."""
+    greek = str(p.get("locale") or "").replace("-", "_").split("_")[0].lower() == "el"
+    return "sentence_el" if greek and p.get("type") == "sentence" else p.get("type")
+
+
 def is_characters(p: Pattern) -> bool:
     return p.kind == "bound" and p.get("type") == "character"
 
 
 def segment_spans(s: Column, p: Pattern) -> Column:
     """0-based spans of boundary segments, by a kernel."""
-    kind, out = p.get("type"), skipped(p)
+    kind, out = segmenter(p), skipped(p)
     return kernels.mapped(kernels.SPAN, lambda t: [{"start": a, "end": b} for a, b in kernels.segments(t, kind, out)], s)
 
 
 def segment_texts(s: Column, p: Pattern) -> Column:
     if is_characters(p):
         return F.regexp_extract_all(s, F.lit(r"(?s)\X"), F.lit(0))
-    kind, out = p.get("type"), skipped(p)
+    kind, out = segmenter(p), skipped(p)
     return kernels.mapped(kernels.STRINGS, lambda t: [t[a:b] for a, b in kernels.segments(t, kind, out)], s)
 
 
