@@ -12,6 +12,8 @@ import unicodedata
 import regex
 
 Segment = tuple[int, int, str]
+#: Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 class Classes(dict):
@@ -133,6 +135,7 @@ _LINE = Classes(
 _LINE_UNIT = regex.compile("[SZBRFL]|[^SZBRFL][Xz]*")
 #: Between two letters or digits, and before a space, no line breaks.
 _LINE_PLACE = regex.compile("(?<=[BRFL])(?=.)|(?<=.)(?=[^SZ])(?<!A(?=A))(?<!A(?=N))(?<!N(?=[AN]))", regex.S)
+_LINE_SPACE = regex.compile("(?<=[Sbd])(?=[^SZ])", regex.S)
 #: Pairs that stay together wherever they stand, by the annex's rules in their order from 21 on.
 _TOGETHER = regex.compile(
     r".[bduhn]|M.|YH|.\.|[AH]N|N[AH]|\$[Demx]|[Demx]%|[$%][AH]|[AH][$%]|[$%]N|[hI]N|j[jvkl]|[vk][vt]|[tl]t|[jvtkl]%|\$[jvtkl]|[AH][AH]|I[AH]|[AHN]O|P[AHN]|em|xm", regex.S
@@ -160,6 +163,13 @@ def line_breaks(text: str) -> list[Segment]:
     return out
 
 
+def space_breaks(text: str) -> list[int]:
+    """Where lines may break after white space, and the end."""
+    base, starts, units = _folded(text.translate(_LINE), _LINE_UNIT, "Xz", "A")
+    places = (m.start() for m in _LINE_SPACE.finditer(base))
+    return [starts[i] for i in places if text[starts[i] - 1] in WHITE and _may_break(base, i, units, text, starts)] + [len(text)]
+
+
 def _may_break(base: str, i: int, units: list[str], text: str, starts: list[int]) -> bool:
     """Whether a line may end before unit ``i``; the rules in the annex's order."""
     a, b = base[i - 1], base[i]

@@ -4,6 +4,7 @@ line filling, and regular expressions with empty matches or groups that take no
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable
@@ -14,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphframe.functions.boundaries import greek_sentences, line_breaks, sentences, words
+from glyphframe.functions.boundaries import WHITE, greek_sentences, line_breaks, sentences, space_breaks, words
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 STRINGS = T.ArrayType(T.StringType())
@@ -178,36 +179,55 @@ def width(text: str) -> int:
 
 # Line filling
 
+_BLANK = re.compile("[ \t\n\x0b\x0c\r\x85\u2028\u2029]+")
+#: Spaces of printable ASCII text where a line may break: not behind an opening bracket, and not before what closes or ends.
+_ASCII_BREAK = re.compile(r"(?<![(\[{]) (?![)\]}!?/]|[,.:;](?![0-9]))")
+
 
 def fill(text: str, columns: int, indent: int, exdent: int, whitespace_only: bool) -> str:
-    """Words in lines of at most ``columns``, as even as they can be: the squared room that is left is least."""
+    """Words in lines of at most ``columns``, as even as they can be: the squared room that is left is least.
+
+    The last line and words longer than a line cost nothing; of equal ways the one with the longer last line is taken.
+    """
     columns = max(1, columns)
-    text = " ".join(unicodedata.normalize("NFC", text).split())
+    text = _BLANK.sub(" ", text.lstrip("\ufeff")).strip(WHITE)
     if not text:
         return ""
-    pieces = [(p, " ") for p in text.split(" ")] if whitespace_only else [(text[a:b].rstrip(" "), " " if text[a:b].endswith(" ") else "") for a, b, _ in line_breaks(text)]
-    sizes, gaps = [width(p) for p, _ in pieces], [len(g) for _, g in pieces]
-    n = len(pieces)
-    best: list[tuple[float, int]] = [(0.0, 0)] * n + [(0.0, n)]
-    # a line of words i..j-1 begins with the first or the other indent, so the first line is chosen last
-    for i in range(n - 1, -1, -1):
-        room = columns - (indent if i == 0 else exdent)
-        used, choice = 0, (float("inf"), i + 1)
-        for j in range(i + 1, n + 1):
-            used += sizes[j - 1] + (gaps[j - 2] if j - 1 > i else 0)
-            if used > room and j > i + 1:
-                break
-            own = 0.0 if j == n or used > room else float((room - used) ** 2)
-            if own + best[j][0] < choice[0]:
-                choice = (own + best[j][0], j)
-        best[i] = choice
-    lines, i = [], 0
-    while i < n:
-        j = best[i][1]
-        body = "".join(p + (g if k < j - 1 else "") for k, (p, g) in enumerate(pieces[i:j], i))
-        lines.append(" " * (indent if i == 0 else exdent) + body)
-        i = j
-    return "\n".join(lines)
+    if text.isascii() and text.isprintable() and whitespace_only:
+        words = _ASCII_BREAK.split(text)
+        sizes, gaps = [len(w) for w in words], [" "] * (len(words) - 1) + [""]
+    else:
+        text = unicodedata.normalize("NFC", text)
+        stops = space_breaks(text) if whitespace_only else [b for _, b, _ in line_breaks(text)]
+        whole = [text[a:b] for a, b in zip([0, *stops], stops)]
+        words = [w[:-1] if w[-1] in WHITE else w for w in whole]
+        gaps = [a[len(b) :] for a, b in zip(whole, words)]
+        sizes = [len(w) if w.isascii() and w.isprintable() else width(w) for w in words]
+    n = len(words)
+    # columns of all words before one, with the gaps behind them
+    before = [0, *itertools.accumulate(s + char_width(g) if g else s for s, g in zip(sizes, gaps))]
+    least, starts, low = [0] * n, [0] * n, 1
+    for j in range(n):
+        end = before[j] + sizes[j]
+        if end <= columns - indent or j == 0:
+            least[j] = max(0, columns - indent - end) ** 2
+            continue
+        need = end - columns + exdent  # a line from word i to here fits if as much is before it
+        while low < j and before[low] < need:
+            low += 1
+        if j == n - 1 or before[low] < need:
+            costs = least[low - 1 : j]
+        else:
+            costs = [c + (b - need) ** 2 for c, b in zip(least[low - 1 : j], before[low : j + 1])]
+        least[j] = min(costs)
+        starts[j] = low + costs.index(least[j])
+    lines, j = [], n - 1
+    while j >= 0:
+        i = starts[j]
+        body = "".join(itertools.chain.from_iterable(zip(words[i:j], gaps[i:j]))) + words[j]
+        lines.append(" " * (exdent if i else indent) + body)
+        j = i - 1
+    return "\n".join(reversed(lines))
 
 
 # Other

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from glyphframe import api as s
-from glyphframe.functions import boundaries
+from glyphframe.functions import boundaries, kernels
 
 #: No Han, Hiragana or Thai, which ICU takes from dictionaries.
 ALPHABET = list("aabZ12 .,!?:;'\"()[]-/$%\n\r\t_&é́‍😀👍🏽🇫🇷שק한국각カア「」、。…—‘’“”«» ‐​ ǅß٣+€™⁠~|#*")
@@ -56,6 +56,69 @@ def test_without_dictionaries():
     assert boundaries.words("") == boundaries.sentences("") == boundaries.line_breaks("") == []
 
 
+def test_breaks_after_spaces(samples):
+    for t in samples:
+        ends = [b for _, b, _ in boundaries.line_breaks(t) if t[b - 1] in boundaries.WHITE or b == len(t)]
+        assert [x for x in boundaries.space_breaks(t) if t[x - 1 : x] not in tuple("\n\r\u2028")] == [x for x in ends if t[x - 1 : x] not in tuple("\n\r\u2028")], t
+
+
+def test_wrap_breaks_as_lines_may(samples):
+    """Printable ASCII is split by a pattern of its own: the pieces are those of the full rules."""
+    for t in samples:
+        t = "".join(c if " " <= c < "\x7f" else " " for c in t).strip()
+        t = " ".join(t.split())
+        if t:
+            words = kernels._ASCII_BREAK.split(t)
+            stops = boundaries.space_breaks(t)
+            assert words == [t[a:b].rstrip(" ") for a, b in zip([0, *stops], stops)], t
+
+
+def every_way(words, columns, indent, exdent):
+    """Least cost of all ways to break, a line a cost, the last one free."""
+    best = None
+    for cuts in range(1 << (len(words) - 1)):
+        lines, now = [], [words[0]]
+        for k, w in enumerate(words[1:]):
+            if cuts >> k & 1:
+                lines.append(now)
+                now = [w]
+            else:
+                now.append(w)
+        lines.append(now)
+        cost = 0
+        for k, line in enumerate(lines):
+            left = columns - (exdent if k else indent) - len(" ".join(line))
+            if left < 0 and len(line) > 1:
+                break
+            cost += 0 if left < 0 or k == len(lines) - 1 else left * left
+        else:
+            best = cost if best is None else min(best, cost)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_fill_is_best(seed):
+    """Indents and words longer than a line included."""
+    r = random.Random(seed)
+    words = ["x" * r.choice((1, 2, 3, 5, 8, 14)) for _ in range(r.randrange(1, 11))]
+    columns, indent, exdent = r.randint(4, 18), r.randint(0, 4), r.randint(0, 4)
+    lines = kernels.fill(" ".join(words), columns, indent, exdent, True).split("\n")
+    assert " ".join(x.strip(" ") for x in lines) == " ".join(words)
+    cost = 0
+    for k, line in enumerate(lines):
+        assert len(line) <= columns or " " not in line.strip(" ")
+        cost += 0 if k == len(lines) - 1 else max(0, columns - len(line)) ** 2
+    assert cost == every_way(words, columns, indent, exdent)
+
+
+def test_fill_rules():
+    assert kernels.fill("why ? ( yes ) no", 4, 0, 0, True) == "why ?\n( yes )\nno"
+    assert kernels.fill("a\u3000b\u00a0c \u00a0", 1, 0, 0, True) == "a\nb\u00a0c"
+    assert kernels.fill("漢字 語", 2, 0, 0, False) == "漢\n字\n語" and kernels.fill("漢字 語", 2, 0, 0, True) == "漢字\n語"
+    assert kernels.fill("\ufeffe\u0301 \r\n\t b", 9, 0, 0, True) == "\u00e9 b"
+    assert kernels.fill("a a a a a xxxxx", 5, 0, 0, True) == "a a\na a a\nxxxxx"  # two equal ways
+
+
 def test_verbs(spark):
     row = spark.createDataFrame([("Τι; Ναι カタ 3.5",)], "t string").select(
         s.str_split("t", s.boundary("sentence", locale="el_GR")).alias("el"),
