@@ -7,6 +7,7 @@ characters are words of their own, Thai and its like break at spaces.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import regex
@@ -35,7 +36,7 @@ def _properties(name: str, letters: dict[str, str]) -> list[tuple[str, str]]:
     return [(letter, "".join(rf"\p{{{name}={v}}}" for v in values.split())) for letter, values in letters.items()]
 
 
-def _folded(classes: str, unit: regex.Pattern, marks: str, alone: str) -> tuple[str, list[int], list[str]]:
+def _folded(classes: str, unit: re.Pattern, marks: str, alone: str) -> tuple[str, list[int], list[str]]:
     """One class a unit, where units start (and the text ends), and their own classes in full."""
     units = [m.group() for m in unit.finditer(classes)]
     starts, at = [0], 0
@@ -55,11 +56,12 @@ _WORD = Classes(
     + [("i", r"\p{Script=Han}\p{Script=Hiragana}")],
     "o",
 )
-_WORD_UNIT = regex.compile("[rnw]|[^rnw][xz]*")
+_WORD_UNIT = re.compile("[rnw]|[^rnw][xz]*")
 #: Unit classes: S a space with marks, g a Hangul syllable with marks, p a pictograph joined to what is before it.
-_WORD_SEGMENT = regex.compile(
-    "rn|[rnw]| *S|(?: +|RR?|h*g|h+|[ABH9K_](?:(?<=[ABH9_])[ABH9_]|(?<=[K_])[K_]|(?<=[ABH])[lmq][ABH]|(?<=9)[umq]9|(?<=H)dH|(?<=H)q)*|.)p*|p+"
+_WORD_SEGMENT = re.compile(
+    "A++(?![BH9_lmqp])| (?![ Sp])|rn|[rnw]| *S|(?: +|RR?|h*g|h+|[ABH9K_](?:(?<=[ABH9_])[ABH9_]|(?<=[K_])[K_]|(?<=[ABH])[lmq][ABH]|(?<=9)[umq]9|(?<=H)dH|(?<=H)q)*|.)p*|p+"
 )
+_WORD_LABELS = dict.fromkeys("ABHh", "letter") | {"9": "number"} | dict.fromkeys("Ki", "ideo")
 
 
 def words(text: str) -> list[Segment]:
@@ -74,14 +76,16 @@ def words(text: str) -> list[Segment]:
         base = "".join(
             {" ": "S", "h": "g"}.get(c, c) if c in " h" and len(u) > 1 else "p" if c == "P" and k and units[k - 1][-1] == "z" else c for k, (c, u) in enumerate(zip(base, units))
         )
-    out = []
+    out, labels = [], _WORD_LABELS
     for m in _WORD_SEGMENT.finditer(base):
         a, b = m.span()
         last = base[b - 1]
-        if last == "_" and b - a > 1 and not (starts and len(units[b - 1]) > 1):
-            last = base[b - 2]
-            last = "A" if last == "_" else last
-        label = "letter" if last in "ABHh" or last == "q" and base[b - 2 : b - 1] == "H" else "number" if last == "9" else "ideo" if last in "Ki" else "none"
+        if last in "_q" and b - a > 1:
+            if last == "q":
+                last = base[b - 2]  # a mark behind a Hebrew letter
+            elif not (starts and len(units[b - 1]) > 1):
+                last = "A" if base[b - 2] == "_" else base[b - 2]
+        label = labels.get(last, "none")
         out.append((starts[a], starts[b], label) if starts else (a, b, label))
     return out
 
@@ -92,7 +96,7 @@ _SENTENCE = Classes(
     _properties("SB", {"r": "CR", "n": "LF", "p": "Sep", "x": "Extend Format", " ": "Sp", "l": "Lower", "u": "Upper", "o": "OLetter", "9": "Numeric", ".": "ATerm", "!": "STerm", ",": "SContinue", ")": "Close"}),
     "z",
 )
-_SENTENCE_UNIT = regex.compile("[prn]|[^prn]x*")
+_SENTENCE_UNIT = re.compile("[prn]|[^prn]x*")
 _SENTENCE_END = regex.compile(
     r"(?:rn|[rnp])|(?:!\)*+ *+|(?:(?<![ul])\.|(?<=[ul])\.(?!u))(?!9)\)*+ *+(?![^oulrnp.!]*+l))(?![,.!])(?:rn|[rnp])?+"
 )
@@ -132,13 +136,13 @@ _LINE = Classes(
                          "j": "JL", "v": "JV", "t": "JT", "k": "H2", "l": "H3", "r": "RI", "X": "CM", "z": "ZWJ"}),
     "A",
 )
-_LINE_UNIT = regex.compile("[SZBRFL]|[^SZBRFL][Xz]*")
+_LINE_UNIT = re.compile("[SZBRFL]|[^SZBRFL][Xz]*")
 #: Between two letters or digits, and before a space, no line breaks.
-_LINE_PLACE = regex.compile("(?<=[BRFL])(?=.)|(?<=.)(?=[^SZ])(?<!A(?=A))(?<!A(?=N))(?<!N(?=[AN]))", regex.S)
-_LINE_SPACE = regex.compile("(?<=[Sbd])(?=[^SZ])", regex.S)
+_LINE_PLACE = re.compile("(?<=[BRFL])(?=.)|(?<=.)(?=[^SZ])(?<!A(?=A))(?<!A(?=N))(?<!N(?=[AN]))", re.S)
+_LINE_SPACE = re.compile("(?<=[Sbd])(?=[^SZ])", re.S)
 #: Pairs that stay together wherever they stand, by the annex's rules in their order from 21 on.
-_TOGETHER = regex.compile(
-    r".[bduhn]|M.|YH|.\.|[AH]N|N[AH]|\$[Demx]|[Demx]%|[$%][AH]|[AH][$%]|[$%]N|[hI]N|j[jvkl]|[vk][vt]|[tl]t|[jvtkl]%|\$[jvtkl]|[AH][AH]|I[AH]|[AHN]O|P[AHN]|em|xm", regex.S
+_TOGETHER = re.compile(
+    r".[bduhn]|M.|YH|.\.|[AH]N|N[AH]|\$[Demx]|[Demx]%|[$%][AH]|[AH][$%]|[$%]N|[hI]N|j[jvkl]|[vk][vt]|[tl]t|[jvtkl]%|\$[jvtkl]|[AH][AH]|I[AH]|[AHN]O|P[AHN]|em|xm", re.S
 )
 _LINE_ENDS = frozenset("BRFL")
 

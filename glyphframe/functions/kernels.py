@@ -123,6 +123,10 @@ def segments(text: str, kind: str, skipped: frozenset[str]) -> list[tuple[int, i
     return [(a, b) for a, b, label in SEGMENTERS[kind](text) if label not in skipped]
 
 
+def segment_count(text: str, kind: str, skipped: frozenset[str]) -> int:
+    return sum(label not in skipped for _, _, label in SEGMENTERS[kind](text))
+
+
 # Display width
 
 _ZERO = frozenset({"Me", "Mn", "Cf", "Cc"})

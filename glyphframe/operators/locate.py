@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphframe.functions import kernels
 from glyphframe.functions.dialect import facts, java_regex, quote, to_java
@@ -149,7 +150,8 @@ def str_count(string, pattern: ANY = "") -> Column:
     s, p = text(string), as_pattern(pattern)
     if p.kind == "bound":
         if not is_characters(p):
-            return F.size(segment_spans(s, p))
+            kind, out = segmenter(p), skipped(p)
+            return kernels.mapped(T.IntegerType(), lambda t: kernels.segment_count(t, kind, out), s)
         # letters of these blocks stand alone, but for a carriage return before a newline
         simple = F.length(s) - (F.length(s) - F.length(F.replace(s, F.lit("\r\n"), F.lit("")))) / 2
         return F.when(F.rlike(s, F.lit(ALONE)), simple.cast("int")).otherwise(F.regexp_count(s, F.lit(r"(?s)\X")))
