@@ -4,10 +4,11 @@ line filling, and regular expressions with empty matches or groups that take no
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 import regex as _re  # has Unicode properties and grapheme clusters
@@ -237,13 +238,97 @@ def fill(text: str, columns: int, indent: int, exdent: int, whitespace_only: boo
 # Other
 
 
-def sentence_case(text: str) -> str:
-    """The first letter of each sentence in title case, all else lower."""
-    out = []
-    for a, b, _ in sentences(text):
-        part, done = [], False
-        for c in text[a:b]:
-            part.append(c.lower() if done else c.title() if c.isalpha() else c)
-            done = done or c.isalnum()
-        out.append("".join(part))
+@functools.cache
+def beside_marks() -> str:
+    """Marks that stand neither above a letter nor on their own, as a set."""
+    return "[" + "".join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.combining(c) not in (0, 230)) + "]"
+
+
+def _lower(text: str, language: str) -> str:
+    if language in ("tr", "az"):
+        return re.sub(f"I({beside_marks()}*)\u0307", r"i\1", text).translate({0x49: "\u0131", 0x130: "i"}).lower()
+    if language == "lt":
+        out = []
+        for k, c in enumerate(text):
+            ahead = next((x for x in map(unicodedata.combining, text[k + 1 :]) if x in (0, 230)), 0) if c in "IJ\u012e" else 0
+            out.append(c + "\u0307" if ahead else LITHUANIAN.get(c, c))
+        return "".join(out).lower()
+    return text.lower()
+
+
+#: Capitals whose small letters keep a dot in Lithuanian.
+LITHUANIAN = {"\u00cc": "i\u0307\u0300", "\u00cd": "i\u0307\u0301", "\u0128": "i\u0307\u0303"}
+
+
+def _titled(part: str, language: str, starts: Callable[[str], bool]) -> str:
+    """The first character that may start it in title case, what follows lower."""
+    k = next((k for k, c in enumerate(part) if starts(c)), len(part))
+    first, rest = part[k : k + 1], part[k + 1 :]
+    title = "\u0130" if first == "i" and language in ("tr", "az") else first.title()
+    if language in ("tr", "az") and first == "I":
+        rest = re.sub(f"^({beside_marks()}*)\u0307", r"\1", rest)
+    if language == "nl":  # an acute stands on both letters or on none
+        both = _re.match(r"[jJ](?!\p{M})" if first in "iI\u0131" else r"[jJ](?=\u0301(?!\p{M}))" if first in "\u00ed\u00cd" else r"(?!)", rest)
+        if first in "iI\u0131" and _re.match(r"\u0301[jJ]\u0301(?!\p{M})", rest):
+            title, rest = title + "\u0301J", rest[2:]
+        elif both and first:
+            title, rest = title + "J", rest[1:]
+    # a letter before the rest tells whether a sigma ends a word
+    return part[:k] + title + _lower(("a" if first.isalpha() else " ") + rest, language)[1:]
+
+
+def sentence_case(text: str, language: str = "") -> str:
+    """The first letter of each sentence in title case, all else lower, by the language's rules."""
+    find = greek_sentences if language == "el" else sentences
+    starts = lambda c: unicodedata.category(c)[0] in "LNS" or unicodedata.category(c) == "Co"
+    return "".join(_titled(text[a:b], language, starts) for a, b, _ in find(text))
+
+
+def title_case(text: str, language: str = "") -> str:
+    """The same by words."""
+    starts = lambda c: unicodedata.category(c)[0] in "LNS" or unicodedata.category(c) == "Co"
+    return "".join(_titled(text[a:b], language, starts) for a, b, _ in words(text))
+
+
+#: Marks that Greek letters bear; the first ones are accents.
+GREEK_ACCENTS = "\u0300\u0301\u0342\u0302\u0303\u0311"
+GREEK_MARKS = GREEK_ACCENTS + "\u0308\u0304\u0306\u0313\u0314\u0343\u0344\u0345"
+
+
+def _cased(text: Iterable[str]) -> bool:
+    """Whether the first character that matters for case is a cased letter."""
+    return next((bool(_re.match(r"\p{Cased}", c)) for c in text if not _re.match(r"\p{Case_Ignorable}", c)), False)
+
+
+def greek_upper(text: str) -> str:
+    """Greek capitals have no accents but the dialytika, which also marks an iota or upsilon after an accented vowel.
+
+    The word "or", an eta with an accent that stands alone, keeps it.  Other marks stay, and a subscript iota is a capital one.
+    """
+    out, i, n = [], 0, len(text)
+    accent, written = False, False  # of the vowel before; whether as a mark of its own
+    while i < n:
+        c = text[i]
+        whole = unicodedata.normalize("NFD", c)
+        base = whole[0]
+        if not (("\u0370" <= c <= "\u03ff" or "\u1f00" <= c <= "\u1fff" or c == "\u2126") and base.isalpha()):
+            out.append(c.upper())
+            i, accent = i + 1, False
+            continue
+        j = i + 1
+        while j < n and text[j] in GREEK_MARKS:
+            j += 1
+        own, marks = whole[1:], text[i + 1 : j].replace("\u0344", "\u0308\u0301")
+        capital = base.upper()
+        vowel = capital in "\u0391\u0395\u0397\u0399\u039f\u03a5\u03a9"
+        inside, outside = any(m in own for m in GREEK_ACCENTS), any(m in marks for m in GREEK_ACCENTS)
+        dots, dots_written = "\u0308" in own, "\u0308" in marks
+        if accent and capital in "\u0399\u03a5" and not (dots or dots_written):
+            dots, dots_written = not written, written
+        subscripts = (own + marks).count("\u0345")
+        alone = capital == "\u0397" and (inside or outside) and not subscripts and not _cased(text[k] for k in range(i - 1, -1, -1)) and not _cased(text[k] for k in range(j, n))
+        out.append((unicodedata.normalize("NFC", capital + "\u0308") if dots and capital in "\u0399\u03a5" else "\u0389" if alone and inside else capital)
+                   + ("\u0308" if dots_written else "") + ("\u0301" if alone and not inside else "") + "\u0399" * subscripts)
+        accent, written = vowel and (inside or outside) and not (dots or dots_written), not inside
+        i = j
     return "".join(out)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +15,6 @@ from glyphframe.functions.patterns import text
 from glyphframe.operators.layout import str_trim
 
 TURKIC = ("tr", "az")
-#: Languages with rules of their own that neither Spark nor this module has.
-SPECIAL = ("lt",)
 #: Fixed pattern: where a word of an identifier ends.
 WORD_BREAK = (
     r"[^\p{L}\p{N}]+"
@@ -28,34 +28,32 @@ WORD_BREAK = (
 def _language(locale: str) -> str:
     if not isinstance(locale, str):
         raise TypeError("`locale` must be a single string.")
-    language = locale.replace("-", "_").split("_")[0].lower()
-    if language in SPECIAL:
-        raise NotImplementedError(f"case mapping for `{language}` is not supported.")
-    return language
-
-
-def greek_upper(t: str) -> str:
-    """Greek capitals have no accents but the dialytika, which also marks an iota or upsilon after an accented vowel.
-
-    The word "or", an eta with an accent that stands alone, keeps it.
-    """
-    out, accented = [], False
-    clusters: list[list[str]] = []
-    for c in unicodedata.normalize("NFD", t):
-        if clusters and unicodedata.combining(c):
-            clusters[-1][1] += c
-        else:
-            clusters.append([c, ""])
-    for i, (base, marks) in enumerate(clusters):
-        if not "\u0370" <= base <= "\u03ff":
-            out.append((base + marks).upper())
-            accented = False
-            continue
-        alone = base in "\u03b7\u0397" and "\u0301" in marks and not any(0 <= j < len(clusters) and clusters[j][0].isalpha() for j in (i - 1, i + 1))
-        apart = "\u0308" in marks or accented and base in "\u03b9\u03c5\u0399\u03a5" and not marks
-        out.append(base.upper() + ("\u0301" if alone else "") + ("\u0308" if apart else ""))
-        accented = bool(set(marks) & set("\u0300\u0301\u0342")) and base in "\u03b1\u03b5\u03b7\u03bf\u0391\u0395\u0397\u039f"
-    return unicodedata.normalize("NFC", "".join(out))
+    return locale.replace("-", "_").split("_")[0].lower()
+
+
+@functools.cache
+def _marks() -> tuple[str, str, str]:
+    """Sets of soft-dotted letters, marks above a letter, and marks elsewhere, for Java's expressions."""
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c <= 0xDFFF]
+    dotted = [c for c in points if regex.match(r"\p{Soft_Dotted}", c)]
+    above = [c for c in points if unicodedata.combining(c) == 230]
+    beside = [c for c in points if unicodedata.combining(c) not in (0, 230)]
+    return tuple("[" + "".join(rf"\x{{{ord(c):X}}}" for c in own) + "]" for own in (dotted, above, beside))
+
+
+def lithuanian_lower(s: Column) -> Column:
+    """A small i or j keeps its dot under a further mark above it."""
+    _, above, beside = _marks()
+    s = F.regexp_replace(s, f"([IJ\u012e])(?={beside}*+{above})", "$1\u0307")
+    for capital, small in kernels.LITHUANIAN.items():
+        s = F.replace(s, F.lit(capital), F.lit(small))
+    return F.lower(s)
+
+
+def lithuanian_upper(s: Column) -> Column:
+    """Capitals lose the dot that a soft-dotted letter keeps under a mark."""
+    dotted, _, beside = _marks()
+    return F.upper(F.regexp_replace(s, f"({dotted}{beside}*+)\u0307", "$1"))
 
 
 def str_to_upper(string, locale: str = "en") -> Column:
@@ -63,27 +61,39 @@ def str_to_upper(string, locale: str = "en") -> Column:
     s = text(string)
     if _language(locale) == "el":
         greek = F.rlike(s, F.lit(r"[\u0370-\u03FF\u1F00-\u1FFF]"))
-        return F.when(greek, kernels.mapped(T.StringType(), greek_upper, F.when(greek, s))).otherwise(F.upper(s))
+        return F.when(greek, kernels.mapped(T.StringType(), kernels.greek_upper, F.when(greek, s))).otherwise(F.upper(s))
+    if _language(locale) == "lt":
+        return lithuanian_upper(s)
     return F.upper(F.translate(s, "iı", "İI") if _language(locale) in TURKIC else s)
 
 
 def str_to_lower(string, locale: str = "en") -> Column:
     s = text(string)
-    return F.lower(F.translate(s, "Iİ", "ıi") if _language(locale) in TURKIC else s)
+    if _language(locale) == "lt":
+        return lithuanian_lower(s)
+    if _language(locale) not in TURKIC:
+        return F.lower(s)
+    return F.lower(F.translate(F.regexp_replace(s, f"I({_marks()[2]}*+)\u0307", "i$1"), "Iİ", "ıi"))
 
 
 def str_to_title(string, locale: str = "en") -> Column:
     """Each word with a capital, by Unicode word boundaries."""
     language = _language(locale)
     name = language if language in TURKIC else "UNICODE"
-    titled = F.collate(F.initcap(F.collate(text(string), name)), "UTF8_BINARY")
-    return F.regexp_replace(titled, r"(?<![\p{L}\p{M}])Ij", "IJ") if language == "nl" else titled
+    s = text(string)
+    titled = F.collate(F.initcap(F.collate(s, name)), "UTF8_BINARY")
+    # the languages whose words need more than a capital
+    special = {"nl": r"[iI\u0131\u00ed\u00cd]\u0301?[jJ]", "lt": r"[\u00cc\u00cd\u0128IJ\u012eij\u012f]"}.get(language)
+    if special is None:
+        return titled
+    has = F.rlike(s, F.lit(special))
+    return F.when(has, kernels.mapped(T.StringType(), lambda t: kernels.title_case(t, language), F.when(has, s))).otherwise(titled)
 
 
 def str_to_sentence(string, locale: str = "en") -> Column:
     """Each sentence with a capital."""
-    _language(locale)
-    return kernels.mapped(T.StringType(), kernels.sentence_case, text(string))
+    language = _language(locale)
+    return kernels.mapped(T.StringType(), lambda t: kernels.sentence_case(t, language), text(string))
 
 
 def to_words(string) -> Column:

@@ -91,8 +91,8 @@ def test_case(check):
             }.items()
         ],
     )
-    with pytest.raises(NotImplementedError):
-        s.str_to_upper(L("i"), "lt")
+    with pytest.raises(TypeError):
+        s.str_to_upper(L("i"), None)
 
 
 def test_order(strings):
