@@ -19,6 +19,10 @@ PRIVATE = "".join(map(chr, range(0xE000, 0xF900)))
 IGNORED = r"[\p{M}\p{Cf}\p{Cc}]"
 MOST_FOR_ONE = 18
 ALONE = r"^[\x00-\u02FF\u0370-\u0482\u1E00-\u1FFF]*\z"
+#: Text of ASCII and Latin letters with accents, and its words by the Unicode rules; a connector alone is none.
+LATIN = r"^[\x00-\x7F\u00C0-\u024F&&[^\u00D7\u00F7]]*\z"
+_LETTER = r"[A-Za-z\u00C0-\u024F]"
+LATIN_WORD = rf"(?!_(?![0-9_]|{_LETTER}))(?:[0-9_A-Za-z\u00C0-\u024F]++|(?<={_LETTER})[.':](?={_LETTER})|(?<=[0-9])[.,';](?=[0-9]))++"
 SPAN_TYPE = "struct<start:int,end:int>"
 SPANS_TYPE = "array<struct<start:int,end:int>>"
 _WORD_CLASSES = {"skip_word_none": "none", "skip_word_number": "number", "skip_word_letter": "letter", "skip_word_kana": "kana", "skip_word_ideo": "ideo"}
@@ -151,7 +155,11 @@ def str_count(string, pattern: ANY = "") -> Column:
     if p.kind == "bound":
         if not is_characters(p):
             kind, out = segmenter(p), skipped(p)
-            return kernels.mapped(T.IntegerType(), lambda t: kernels.segment_count(t, kind, out), s)
+            if (kind, out) != ("word", {"none"}):
+                return kernels.mapped(T.IntegerType(), lambda t: kernels.segment_count(t, kind, out), s)
+            latin = F.rlike(s, F.lit(LATIN))  # a kernel gets null instead of such text
+            others = kernels.mapped(T.IntegerType(), lambda t: kernels.segment_count(t, kind, out), F.when(~latin, s))
+            return F.when(latin, F.regexp_count(s, F.lit(LATIN_WORD))).otherwise(others)
         # letters of these blocks stand alone, but for a carriage return before a newline
         simple = F.length(s) - (F.length(s) - F.length(F.replace(s, F.lit("\r\n"), F.lit("")))) / 2
         return F.when(F.rlike(s, F.lit(ALONE)), simple.cast("int")).otherwise(F.regexp_count(s, F.lit(r"(?s)\X")))

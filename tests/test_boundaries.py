@@ -119,6 +119,15 @@ def test_fill_rules():
     assert kernels.fill("a a a a a xxxxx", 5, 0, 0, True) == "a a\na a a\nxxxxx"  # two equal ways
 
 
+def test_count_in_the_jvm(spark, samples):
+    """Latin text is counted by a pattern: as many words as the segments say."""
+    r = random.Random(7)
+    made = ["".join(r.choice("ab1 2_.,:;'\"-éß×\n\t\x01") for _ in range(r.randrange(0, 12))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in made + samples], "t string").select("t", s.str_count("t", s.boundary("word")).alias("n")).collect()
+    for t, n in rows:
+        assert n == sum(c != "none" for _, _, c in boundaries.words(t)), t
+
+
 def test_verbs(spark):
     row = spark.createDataFrame([("Τι; Ναι カタ 3.5",)], "t string").select(
         s.str_split("t", s.boundary("sentence", locale="el_GR")).alias("el"),
