@@ -46,6 +46,8 @@ SHINGLE, LEAST = 5, 0.8
 CAP, ROUNDS = 64, 2
 BUCKET_BITS, CHUNK_BITS, SPREAD = 20, 12, 64
 BROADCAST_ROWS = 1_000_000
+#: Links that the driver connects (16 bytes each); more of them are connected in rounds of shuffles, with the same result.
+DRIVER_LINKS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -265,7 +267,7 @@ def all_links(own: DataFrame, contents: DataFrame, rank: np.ndarray, scratch: Sc
     keys = scratch.stored(keyed(own, rank), "keyed").select("c", "n", F.posexplode("keys").alias("pos", "key"))
     counts = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = scratch.stored(keys.join(counts, "key"), "shared")
-    roots = components(links)
+    roots = components(links, at_driver=DRIVER_LINKS)
     rooted = _rooted(shared, "c", roots, "root")
     dense = rooted.where(F.col("m") > CAP)
     pairs = cut(_pairs_of_few(rooted.where(F.col("m") <= CAP), dense))
@@ -281,7 +283,7 @@ def all_links(own: DataFrame, contents: DataFrame, rank: np.ndarray, scratch: Sc
         links = links.unionByName(sets.verified(tries))
         if last:
             break
-        roots = components(links)
+        roots = components(links, at_driver=DRIVER_LINKS)
         pairs = cut(_apart(pairs.join(tries, ["a", "b"], "left_anti"), roots))
     return links
 
@@ -293,7 +295,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     rows, rank = scanned(own, scratch)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")).alias("first")
     contents = cut(rows.groupBy("c").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp")))
-    roots = components(all_links(own, contents, rank, scratch))
+    roots = components(all_links(own, contents, rank, scratch), at_driver=DRIVER_LINKS)
     linked = contents.join(roots, F.col("c") == F.col("vertex")).select("c", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("group_first"))
     known = contents.select("c", "first").join(linked.join(least, "root").select(F.col("c").alias("lc"), "group_first"), F.col("c") == F.col("lc"), "left")

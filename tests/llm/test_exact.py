@@ -323,6 +323,23 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_are_connected_on_the_driver(spark):
+    """The same components as by rounds, without their plans."""
+    r = random.Random(16)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1060)] + [(r.randrange(-400, 0), r.randrange(-400, 0)) for _ in range(220)] + [(5, 5), (7, 6), (5000, 5000)]
+    r.shuffle(edges)
+    table = spark.createDataFrame(edges, "a long, b long")
+    want = slow_components(edges, {v for a, b in edges if a != b for v in (a, b)} | {5000})
+    for at_driver, most in ((0, 1000), (len(edges), 12)):
+        spark.sparkContext.setJobGroup(f"edges-{at_driver}", "")
+        found = graph.components(table, at_driver=at_driver)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert found.columns == ["vertex", "root"] and len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"edges-{at_driver}")) <= most
+        got = found.collect()
+        assert len(got) == len(want) - 1 and {x["vertex"]: x["root"] for x in got} | {5000: 5000} == want
+    assert graph.components(table.where("a = b"), at_driver=9).count() == 0
+
+
 # Repeated strings
 
 
