@@ -70,8 +70,9 @@ class Network:
         """By pair of bytes the response of two filter positions: (WIDTH / 2, 65536, FILTERS)."""
         if self._tables is None:
             single = np.einsum("be,jef->jbf", self.w["embed"], self.w["filter"]).astype(np.float32)
-            pairs = [(single[j][:, None, :] + single[j + 1][None, :, :]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)]
-            self._tables = np.stack(pairs)
+            self._tables = np.empty((WIDTH // 2, 65536, FILTERS), dtype=np.float32)
+            for j, pairs in enumerate(self._tables.reshape(-1, 256, 256, FILTERS)):
+                np.add(single[2 * j][:, None, :], single[2 * j + 1][None, :, :], out=pairs)
         return self._tables
 
     def score(self, data: bytes) -> float:

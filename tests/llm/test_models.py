@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -429,3 +430,16 @@ def test_stages_take_any_rows(spark, tmp_path, labelled):
     whole = clashing(docs.unionByName(odd))
     assert stage(spark, whole, str(tmp_path)).columns == whole.columns
     assert stage(spark, whole.where("false"), str(tmp_path)).count() == 0
+
+
+def test_quality_tables_are_made_in_place():
+    """A worker holds the tables of a model once, not twice while they are made."""
+    network = quality.Network.start()
+    single = np.einsum("be,jef->jbf", network.w["embed"], network.w["filter"]).astype(np.float32)
+    tracemalloc.start()
+    tables = network.tables()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.25 * tables.nbytes and tables.shape == (quality.WIDTH // 2, 65536, quality.FILTERS)
+    for j in range(quality.WIDTH // 2):
+        assert (tables[j].reshape(256, 256, -1) == single[2 * j][:, None, :] + single[2 * j + 1][None, :, :]).all()
